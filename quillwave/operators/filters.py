@@ -57,14 +57,14 @@ def zero_phase(series: Column, b: list[float], a: list[float], pad: int | None =
 
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        lengths = batch.map(lambda row: -1 if row is None else len(row))
-        for length, rows in batch.groupby(lengths):
-            if length >= 0:
-                block = np.vstack([np.asarray(row, dtype=float) for row in rows]).reshape(len(rows), length)
-                for at, line in zip(rows.index, forward_backward(block, b, a, pad)):
-                    out.at[at] = line
-        return out
+        out: list[list[float] | None] = [None] * len(batch)
+        lengths = np.array([-1 if row is None else len(row) for row in batch])
+        for length in set(lengths.tolist()) - {-1}:
+            places = np.flatnonzero(lengths == length)
+            block = np.array([batch.iloc[k] for k in places], dtype=float).reshape(len(places), length)
+            for k, line in zip(places, forward_backward(block, b, a, pad).tolist()):
+                out[k] = line
+        return pd.Series(out, dtype=object)
 
     return run(series)
 

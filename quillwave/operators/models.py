@@ -43,14 +43,21 @@ def with_features(df: DataFrame, vector_col: str = "vector", out: str = "feature
     return df.withColumn(out, array_to_vector(F.col(vector_col).cast("array<double>")))
 
 
-def fit(train: DataFrame, estimator: Estimator, label_col: str = "label") -> PipelineModel:
-    """Fit on ``features`` and an integer label. The iterations read the rows
-    many times, so they are kept in memory with overflow to disk."""
+def fit(
+    train: DataFrame, estimator: Estimator, label_col: str = "label", rows_per_task: int = 20_000
+) -> PipelineModel:
+    """Fit on ``features`` and an integer label.
+
+    The iterations read the rows many times, so they are kept in memory with
+    overflow to disk. Every iteration is one job: partitions far below
+    ``rows_per_task`` are read together so that tasks are not mostly overhead.
+    """
     label = SQLTransformer(statement=f"SELECT *, CAST(`{label_col}` AS DOUBLE) AS _label FROM __THIS__")
     estimator = estimator.copy().setLabelCol("_label").setFeaturesCol("features")
     kept = train.select("features", label_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[label, estimator]).fit(kept)
+        tasks = max(1, -(-kept.count() // rows_per_task))
+        return Pipeline(stages=[label, estimator]).fit(kept.coalesce(tasks))
     finally:
         kept.unpersist()
 
