@@ -69,12 +69,14 @@ def synonym_augment(
     chosen = draws.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= n_words)
     # The first 8 hex digits of the key pick the slot.
     pick = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    chosen = chosen.select(
-        id_col, "copy", "word", (F.col("_base") + F.pmod(pick, F.col("_size"))).alias("slot")
+    # At most n_words narrow rows per copy; written so that looking for hot
+    # slots does not draw again.
+    chosen = settle(
+        chosen.select(id_col, "copy", "word", (F.col("_base") + F.pmod(pick, F.col("_size"))).alias("slot"))
     )
     swaps = (
         attach_by_key(
-            chosen, slots.select("slot", "synonym"), ["slot"], spread_on=id_col, limits=limits
+            chosen, slots.select("slot", "synonym"), ["slot"], spread_on=id_col, limits=limits, settled=True
         )
         .groupBy(id_col, "copy")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "synonym"))).alias("_swaps"))

@@ -1,55 +1,89 @@
-"""Zero-phase recursive filter on series held in an array column."""
+"""Zero-phase recursive filters on series."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwave.session import settle
 
-def _steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Filter memory after an endless input of ones."""
-    order = len(a) - 1
-    step = np.zeros((order, order))
-    step[:, 0] = -a[1:]
-    step[:-1, 1:] += np.eye(order - 1)
-    return np.linalg.solve(np.eye(order) - step, b[1:] - a[1:] * b[0])
-
-
-def _one_way(x: np.ndarray, b: np.ndarray, a: np.ndarray, memory: np.ndarray) -> np.ndarray:
-    """Filter all rows of ``x`` together, one time step after the other."""
-    out = np.empty_like(x)
-    memory = np.hstack([memory, np.zeros((len(x), 1))])
-    for t in range(x.shape[1]):
-        now = x[:, t]
-        out[:, t] = b[0] * now + memory[:, 0]
-        memory[:, :-1] = memory[:, 1:] + np.outer(now, b[1:]) - np.outer(out[:, t], a[1:])
-    return out
 
+class Recursion:
+    """Difference equation with coefficients ``b`` over ``a``.
 
-def forward_backward(x: np.ndarray, b, a, pad: int | None = None) -> np.ndarray:
-    """Filter the rows of ``x`` forward and backward.
+    ``memory`` is its state between two samples. It changes linearly: after n
+    samples it is ``step ** n @ memory`` plus what the samples alone leave.
+    """
 
-    The edges are extended by ``pad`` points mirrored through the end point
-    (3 * the number of coefficients by default, at most length - 1), and both
-    passes start in the steady state of their first point.
+    def __init__(self, b: Sequence[float], a: Sequence[float]):
+        width = max(len(a), len(b), 2)
+        self.b = np.pad(np.asarray(b, dtype=float), (0, width - len(b))) / a[0]
+        self.a = np.pad(np.asarray(a, dtype=float), (0, width - len(a))) / a[0]
+        self.step = np.zeros((width - 1, width - 1))
+        self.step[:, 0] = -self.a[1:]
+        self.step[:-1, 1:] += np.eye(width - 2)
+        # Memory after an endless input of ones.
+        self.steady = np.linalg.solve(np.eye(width - 1) - self.step, self.b[1:] - self.a[1:] * self.b[0])
+        self.default_pad = 3 * width
+
+    def run(self, rows: list[np.ndarray], memory: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Filter many rows together, one time step after the other.
+
+        Returns the filtered rows and the memory that each one leaves.
+        """
+        lengths = np.array([len(row) for row in rows])
+        longest_first = np.argsort(-lengths, kind="stable")
+        x = np.zeros((len(rows), lengths.max(initial=0)))
+        for place, k in enumerate(longest_first):
+            x[place, : lengths[k]] = rows[k]
+        y = np.empty_like(x)
+        state = np.zeros((len(rows), len(self.steady) + 1))
+        state[:, :-1] = memory[longest_first]
+        active = np.searchsorted(-lengths[longest_first], -np.arange(x.shape[1]))
+        for t, n in enumerate(active):
+            now = x[:n, t]
+            y[:n, t] = self.b[0] * now + state[:n, 0]
+            state[:n, :-1] = state[:n, 1:] + np.outer(now, self.b[1:]) - np.outer(y[:n, t], self.a[1:])
+        out: list[np.ndarray] = [np.empty(0)] * len(rows)
+        left = np.empty((len(rows), len(self.steady)))
+        for place, k in enumerate(longest_first):
+            out[k] = y[place, : lengths[k]]
+            left[k] = state[place, :-1]
+        return out, left
+
+    def skip(self, memory: np.ndarray, n: int) -> np.ndarray:
+        return np.linalg.matrix_power(self.step, n) @ memory
+
+
+def _edges(head: np.ndarray, tail: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """``pad`` points before and after a series, mirrored through its end points."""
+    return 2 * head[0] - head[1 : pad + 1][::-1], 2 * tail[-1] - tail[-pad - 1 : -1][::-1]
+
+
+def forward_backward(rows: list[np.ndarray], b, a, pad: int | None = None) -> list[np.ndarray]:
+    """Filter each row forward and backward.
+
+    The ends are extended by ``pad`` mirrored points (3 * the number of
+    coefficients by default, at most length - 1), and both passes start in the
+    steady state of their first point.
     """
-    width = max(len(a), len(b), 2)
-    b = np.pad(np.asarray(b, dtype=float), (0, width - len(b))) / a[0]
-    a = np.pad(np.asarray(a, dtype=float), (0, width - len(a))) / a[0]
-    length = x.shape[1]
-    if length == 0:
-        return x
-    pad = min(3 * width if pad is None else pad, length - 1)
-    if pad:
-        before = 2 * x[:, :1] - x[:, pad:0:-1]
-        after = 2 * x[:, -1:] - x[:, -2 : -2 - pad : -1]
-        x = np.hstack([before, x, after])
-    rest = _steady_state(b, a)
+    rule = Recursion(b, a)
+    pads = [max(0, min(rule.default_pad if pad is None else pad, len(row) - 1)) for row in rows]
+    extended = []
+    for row, p in zip(rows, pads):
+        before, after = _edges(row, row, p) if p else ([], [])
+        extended.append(np.concatenate([before, row, after]))
     for _ in range(2):
-        x = _one_way(x, b, a, np.outer(x[:, 0], rest))[:, ::-1]
-    return x[:, pad : pad + length]
+        starts = np.array([row[0] if len(row) else 0.0 for row in extended])
+        done, _ = rule.run(extended, np.outer(starts, rule.steady))
+        extended = [row[::-1] for row in done]
+    return [row[p : len(row) - p] for row, p in zip(extended, pads)]
 
 
 def zero_phase(series: Column, b: list[float], a: list[float], pad: int | None = None) -> Column:
@@ -57,14 +91,9 @@ def zero_phase(series: Column, b: list[float], a: list[float], pad: int | None =
 
     @F.pandas_udf("array<double>")
     def run(batch: pd.Series) -> pd.Series:
-        out: list[list[float] | None] = [None] * len(batch)
-        lengths = np.array([-1 if row is None else len(row) for row in batch])
-        for length in set(lengths.tolist()) - {-1}:
-            places = np.flatnonzero(lengths == length)
-            block = np.array([batch.iloc[k] for k in places], dtype=float).reshape(len(places), length)
-            for k, line in zip(places, forward_backward(block, b, a, pad).tolist()):
-                out[k] = line
-        return pd.Series(out, dtype=object)
+        kept = batch[batch.notna()]
+        done = forward_backward([np.asarray(row, dtype=float) for row in kept], b, a, pad)
+        return pd.Series([row.tolist() for row in done], index=kept.index, dtype=object).reindex(batch.index)
 
     return run(series)
 
@@ -72,8 +101,134 @@ def zero_phase(series: Column, b: list[float], a: list[float], pad: int | None =
 def gather_series(long: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, series)`` from ``(keys, sample, value)``.
 
-    Meant for the segments that are cut to a fixed number of samples, which is
-    then the length of each array.
+    Only for segments cut to a fixed number of samples, which is then the
+    length of each array. Whole recordings go through :func:`filter_recordings`.
     """
     cells = F.sort_array(F.collect_list(F.struct("sample", "value")))
     return long.groupBy(*keys).agg(F.transform(cells, lambda cell: cell["value"]).alias("series"))
+
+
+def filter_recordings(
+    df: DataFrame,
+    keys: list[str],
+    order_col: str,
+    value_col: str,
+    chunk: Column,
+    b: list[float],
+    a: list[float],
+    *,
+    pad: int | None = None,
+    out: str = "filtered",
+) -> DataFrame:
+    """Zero-phase filter of series of any length; adds nothing but ``out``.
+
+    A series is cut into chunks (``chunk`` is a function of the order column).
+    Because the memory of the filter is linear, each chunk is first filtered
+    from an empty memory, the memory at every chunk border follows from one
+    small row per chunk, and the chunks are then filtered from their true
+    start. This is done forward and backward, and gives the same numbers as
+    one pass over the whole series.
+    """
+    rule = Recursion(b, a)
+    wanted_pad = rule.default_pad if pad is None else pad
+    key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    chunk_keys = [*keys, "_chunk"]
+    placed = reduce(and_, (F.col(c).isNotNull() for c in [*keys, "_chunk"]))
+    cells = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("at"), F.col(value_col).cast("double").alias("x"))))
+    chunks = (
+        df.withColumn("_chunk", chunk)
+        .where(placed)
+        .groupBy(*chunk_keys)
+        .agg(cells.alias("_cells"))
+        .select(
+            *chunk_keys,
+            F.transform("_cells", lambda c: c["at"]).alias("_at"),
+            F.transform("_cells", lambda c: c["x"]).alias("_x"),
+        )
+    )
+    chunk_type = chunks.schema["_chunk"].dataType.simpleString()
+
+    def arrays(column: pd.Series) -> list[np.ndarray]:
+        return [np.asarray(row, dtype=float) for row in column]
+
+    @F.pandas_udf("array<double>")
+    def leaves(series: pd.Series) -> pd.Series:
+        rows = arrays(series)
+        _, left = rule.run(rows, np.zeros((len(rows), len(rule.steady))))
+        return pd.Series(left.tolist())
+
+    @F.pandas_udf("array<double>")
+    def filtered(series: pd.Series, memory: pd.Series) -> pd.Series:
+        done, _ = rule.run(arrays(series), np.array(memory.tolist(), dtype=float))
+        return pd.Series([row.tolist() for row in done])
+
+    def forward_borders(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_chunk", ignore_index=True)
+        p = min(wanted_pad, int(group["_n"].sum()) - 1)
+        head, tail = np.empty(0), np.empty(0)
+        for row in group["_head"]:
+            if len(head) > p:
+                break
+            head = np.concatenate([head, row])
+        for row in group["_tail"][::-1]:
+            if len(tail) > p:
+                break
+            tail = np.concatenate([row, tail])
+        before, after = _edges(head, tail, p) if p else (np.empty(0), np.empty(0))
+        first = before[0] if p else head[0]
+        _, memory = rule.run([before], np.outer(first, rule.steady))
+        memory = memory[0]
+        starts = []
+        for n, left in zip(group["_n"], group["_left"]):
+            starts.append(memory.tolist())
+            memory = rule.skip(memory, int(n)) + left
+        turn = None
+        if p:
+            past, _ = rule.run([after], memory[None])
+            _, memory = rule.run([past[0][::-1]], np.outer(past[0][-1], rule.steady))
+            turn = memory[0].tolist()
+        return group[chunk_keys].assign(_start=starts, _turn=[turn] * len(group))
+
+    def backward_borders(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_chunk", ascending=False, ignore_index=True)
+        turn = group["_turn"][0]
+        memory = np.asarray(turn if turn is not None else group["_last"][0] * rule.steady, dtype=float)
+        starts = []
+        for n, left in zip(group["_n"], group["_left"]):
+            starts.append(memory.tolist())
+            memory = rule.skip(memory, int(n)) + left
+        return group[chunk_keys].assign(_start=starts)
+
+    edge = wanted_pad + 1
+    borders = (
+        chunks.select(
+            *chunk_keys,
+            F.size("_x").alias("_n"),
+            leaves("_x").alias("_left"),
+            F.slice("_x", 1, edge).alias("_head"),
+            F.slice("_x", F.greatest(F.size("_x") - edge, F.lit(0)) + 1, edge).alias("_tail"),
+        )
+        .groupBy(*keys)
+        .applyInPandas(
+            forward_borders, f"{key_types}, _chunk {chunk_type}, _start array<double>, _turn array<double>"
+        )
+    )
+    # Read twice below, so written once.
+    forward = settle(
+        chunks.join(borders, chunk_keys).select(
+            *chunk_keys, "_at", "_turn", F.reverse(filtered("_x", "_start")).alias("_y")
+        )
+    )
+    borders = (
+        forward.select(
+            *chunk_keys, "_turn", F.size("_y").alias("_n"), F.get("_y", F.lit(0)).alias("_last"), leaves("_y").alias("_left")
+        )
+        .groupBy(*keys)
+        .applyInPandas(backward_borders, f"{key_types}, _chunk {chunk_type}, _start array<double>")
+    )
+    done = forward.join(borders, chunk_keys).select(
+        *keys, "_at", F.reverse(filtered("_y", "_start")).alias("_z")
+    )
+    return done.select(*keys, F.explode(F.arrays_zip("_at", "_z")).alias("_cell")).select(
+        *keys, F.col("_cell._at").alias(order_col), F.col("_cell._z").alias(out)
+    )

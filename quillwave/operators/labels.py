@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwave.functions.text import text_digest
 from quillwave.operators.skew import DEFAULT_LIMITS, JoinLimits, attach_by_key
+from quillwave.session import settle
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -48,8 +49,9 @@ def label_conflicts(
     Long form ``(first_id, id, label, n, first_label)``: one row per member of
     a conflict group, so a group of any size stays spread over tasks.
     """
-    keyed = df.select(
-        F.col(id_col), F.col(label_col), text_digest(F.col(text_col)).alias("_text")
+    # Narrow rows, read twice: the texts are only scanned for the digest.
+    keyed = settle(
+        df.select(F.col(id_col), F.col(label_col), text_digest(F.col(text_col)).alias("_text"))
     )
     groups = (
         keyed.groupBy("_text")

@@ -6,11 +6,16 @@ chunk border is computed from one summary row per chunk and joined back.
 Both the window and that join are on (recording, chunk), so the rows are
 shuffled once, and a recording that holds a large part of all rows is spread
 over as many tasks as it has chunks.
+
+Recording keys and order columns must not be NULL; such rows have no place in
+a sequence and are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +27,13 @@ def _earlier(keys: list[str]):
     )
 
 
+def _chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    # The joins on (recording, chunk) would add this filter on one side only;
+    # stated here, both sides have it and can share one exchange.
+    placed = reduce(and_, (F.col(c).isNotNull() for c in [*keys, "_chunk"]))
+    return df.withColumn("_chunk", chunk).where(placed)
+
+
 def carried_before(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, total: Column, out: str
 ) -> DataFrame:
@@ -29,7 +41,7 @@ def carried_before(
 
     ``total`` is the minimum of a column, as an aggregate.
     """
-    rows = df.withColumn("_chunk", chunk)
+    rows = _chunked(df, keys, chunk)
     summary = rows.groupBy(*keys, "_chunk").agg(total.alias("_own"))
     carried = summary.withColumn("_carried", F.min("_own").over(_earlier(keys))).drop("_own")
     inside = (
@@ -62,31 +74,35 @@ def label_samples(
     time_type = annotations.schema[onset_col].dataType
     end = F.col(end_col) if end_col else F.lit(None).cast(time_type)
     row_type = samples.select(F.struct("*").alias("row")).schema["row"].dataType
-    notes = annotations.select(
-        *keys, F.col(onset_col).alias("_t"), F.struct(F.col(code_col).alias("code"), end.alias("end")).alias("_note")
+    notes = _chunked(
+        annotations.select(
+            *keys,
+            F.col(onset_col).alias("_t"),
+            F.struct(F.col(code_col).alias("code"), end.alias("end")).alias("_note"),
+        ),
+        keys,
+        chunk(F.col("_t")),
     )
-    note_type = notes.schema["_note"].dataType
-    both = (
-        notes.withColumn("_row", F.lit(None).cast(row_type))
-        .unionByName(
-            samples.select(
-                *keys,
-                F.col(time_col).alias("_t"),
-                F.lit(None).cast(note_type).alias("_note"),
-                F.struct("*").alias("_row"),
-            )
-        )
-        .withColumn("_chunk", chunk(F.col("_t")))
-        .withColumn("_is_sample", F.col("_row").isNotNull())
+    timed = _chunked(
+        samples.select(*keys, F.col(time_col).alias("_t"), F.struct("*").alias("_row")), keys, chunk(F.col("_t"))
+    )
+    both = notes.select(
+        "*", F.lit(None).cast(row_type).alias("_row"), F.lit(False).alias("_is_sample")
+    ).unionByName(
+        timed.select("*", F.lit(None).cast(notes.schema["_note"].dataType).alias("_note"), F.lit(True).alias("_is_sample"))
     )
 
-    dated = F.when(F.col("_note").isNotNull(), F.struct("_t", "_note"))
-    summary = both.groupBy(*keys, "_chunk").agg(F.max(dated).alias("_own"))
+    # One row per chunk: its last annotation, if it has one. Samples only tell
+    # which chunks exist.
+    newest = notes.groupBy(*keys, "_chunk").agg(F.max(F.struct("_t", "_note")).alias("_own"))
+    present = timed.select(*keys, "_chunk").distinct()
+    summary = newest.join(present, [*keys, "_chunk"], "full")
+    whole = Window.partitionBy(*keys)
     carried = summary.select(
         *keys,
         "_chunk",
         F.last("_own._note", ignorenulls=True).over(_earlier(keys)).alias("_carried"),
-        F.max("_own").over(Window.partitionBy(*keys))["_note"]["end"].alias("_end"),
+        F.max("_own").over(whole)["_note"]["end"].alias("_end"),
     )
     inside = (
         Window.partitionBy(*keys, "_chunk")
@@ -116,7 +132,7 @@ def mark_runs(
     marker = F.col(marker_col)
     changed = (F.col("_at") > 1) & ~marker.eqNullSafe(F.lag(marker_col).over(inside))
     local = (
-        df.withColumn("_chunk", chunk)
+        _chunked(df, keys, chunk)
         .withColumn("_at", F.row_number().over(inside))
         .withColumn("_change", F.when(changed, F.col("_at")))
         .withColumn("_start", F.last("_change", ignorenulls=True).over(up_to_here))

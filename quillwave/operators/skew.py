@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +16,14 @@ from quillwave.session import settle
 class JoinLimits:
     """Sizes that decide how :func:`attach_by_key` joins.
 
-    broadcast_rows: largest key table that is broadcast.
+    broadcast_rows: largest key table that is broadcast. Such a table has a
+        key and a few numbers per row, so this is some tens of MB.
     rows_per_slice: rows of one key that one task should take.
     hot_keys: how many of the largest keys are looked at for slicing. A key
         outside them holds fewer than 1 / hot_keys of all rows.
     """
 
-    broadcast_rows: int = 200_000
+    broadcast_rows: int = 500_000
     rows_per_slice: int = 2_000_000
     hot_keys: int = 10_000
 
@@ -29,8 +32,8 @@ DEFAULT_LIMITS = JoinLimits()
 
 
 def fits(table: DataFrame, max_rows: int) -> bool:
-    """True if ``table`` has at most ``max_rows`` rows."""
-    return table.limit(max_rows + 1).count() <= max_rows
+    """True if ``table``, a settled one, has at most ``max_rows`` rows."""
+    return table.count() <= max_rows
 
 
 def attach_by_key(
@@ -42,6 +45,7 @@ def attach_by_key(
     size_col: str | None = None,
     how: str = "inner",
     limits: JoinLimits = DEFAULT_LIMITS,
+    settled: bool = False,
 ) -> DataFrame:
     """Join ``table`` (one row per key) to ``rows``.
 
@@ -50,9 +54,11 @@ def attach_by_key(
     single table row is repeated once per slice.
 
     size_col names a column of ``table`` with the number of ``rows`` per key;
-    without it the sizes are counted.
+    without it the sizes are counted. ``settled`` says that ``table`` has been
+    written already.
     """
-    table = settle(table)
+    if not settled:
+        table = settle(table)
     if fits(table, limits.broadcast_rows):
         return rows.join(F.broadcast(table), keys, how)
 
@@ -66,9 +72,12 @@ def attach_by_key(
         .select(*keys, F.ceil(F.col("_size") / limits.rows_per_slice).cast("int").alias("_slices"))
     )
     slices = F.coalesce(F.col("_slices"), F.lit(1))
+    # A NULL key matches nothing, so its rows may go anywhere.
+    no_key = reduce(or_, (F.col(k).isNull() for k in keys))
+    wide = F.when(no_key, F.lit(1 << 20)).otherwise(slices)
     left = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(spread_on), slices).cast("int"))
+        .withColumn("_slice", F.pmod(F.xxhash64(spread_on), wide).cast("int"))
         .drop("_slices")
     )
     right = (

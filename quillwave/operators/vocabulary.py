@@ -10,6 +10,7 @@ from quillwave.functions.vectors import attention_mask, pad_ids
 from quillwave.operators.ranking import global_rank
 from quillwave.operators.skew import DEFAULT_LIMITS, JoinLimits, attach_by_key
 from quillwave.operators.vectors import text_words
+from quillwave.session import settle
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -89,7 +90,8 @@ def salient_words(
     ``counts`` is the result of :func:`word_class_counts`. Kept are pairs with
     n(word) >= min_count and P(class | word) / P(class) >= min_lift.
     """
-    counts = counts.where(F.col(label_col).isin(classes))
+    # Read twice, and much smaller than the texts it comes from.
+    counts = settle(counts.where(F.col(label_col).isin(classes)))
     # One row per listed class, so the broadcast is bounded by the argument.
     per_class = counts.groupBy(label_col).agg(F.sum("n").alias("_class_n"))
     totals = per_class.agg(

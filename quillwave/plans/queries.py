@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillwave.functions import text as tx
 from quillwave.functions import vectors as vx
 from quillwave.operators import augment, labels, metrics, models, sequences, split, trials, vectors, vocabulary
-from quillwave.operators.filters import gather_series, zero_phase
+from quillwave.operators.filters import filter_recordings, gather_series, zero_phase
 from quillwave.operators.ranking import global_rank
 from quillwave.plans import motor_imagery, sentiment, tweets
 from quillwave.session import scratch_path
@@ -85,7 +85,7 @@ def embedding_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events", "event_id")
+    return table(spark, sf_dir, "events")
 
 
 # --- text ---------------------------------------------------------------
@@ -132,7 +132,7 @@ def first_rows(spark, sf_dir):
 
 def duplicate_rows(spark, sf_dir):
     stripped = tweets.strip_noise(documents(spark, sf_dir), "text")
-    return labels.duplicate_rows(stripped, "doc_id", "text").select("doc_id", F.length("text").alias("n_chars"))
+    return labels.duplicate_rows(stripped, "doc_id", "text").select("doc_id", F.length("text").cast("long").alias("n_chars"))
 
 
 def label_conflicts(spark, sf_dir):
@@ -330,19 +330,18 @@ def _embedding_parts(spark, sf_dir):
     return split.exact_split(models.with_features(stored), "vec_id", 0.1, out="is_dev")
 
 
-def _classify(spark, sf_dir, name, **settings):
-    parts = _embedding_parts(spark, sf_dir)
-    path = scratch_path(spark, "model")
-    sinks.save_model(models.fit(parts.where("NOT is_dev"), models.make_model(name, DIM, 5, **settings)), path)
-    return models.score(sinks.load_model(path), parts, "vec_id", "label", "is_dev")
-
-
 def svm_classify(spark, sf_dir):
-    return _classify(spark, sf_dir, "SVM", max_iter=10)
+    parts = _embedding_parts(spark, sf_dir)
+    fitted = models.fit(parts.where("NOT is_dev"), models.make_model("SVM", DIM, 5, max_iter=10))
+    return models.score(fitted, parts, "vec_id", "label", "is_dev")
 
 
 def mlp_classify(spark, sf_dir):
-    return _classify(spark, sf_dir, "NN", hidden=(32,))
+    """Also writes the model and scores with the one read back."""
+    parts = _embedding_parts(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    sinks.save_model(models.fit(parts.where("NOT is_dev"), models.make_model("NN", DIM, 5, hidden=(32,))), path)
+    return models.score(sinks.load_model(path), parts, "vec_id", "label", "is_dev")
 
 
 def fit_and_score(spark, sf_dir):
@@ -404,7 +403,7 @@ def csv_round_trip(spark, sf_dir):
     path = scratch_path(spark, "csv")
     sinks.write_delimited(documents(spark, sf_dir), path)
     back = files.read_csv(spark, path, "doc_id long, text string")
-    return back.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def tsv_round_trip(spark, sf_dir):
@@ -428,7 +427,7 @@ def asof_label(spark, sf_dir):
 
 
 def _event_runs(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type")
     return sequences.mark_runs(rows, ["user_id"], ["ts", "event_id"], "event_type", F.to_date("ts"))
 
 
@@ -477,7 +476,7 @@ def run_task_class(spark, sf_dir):
 
 
 def exclude_keys(spark, sf_dir):
-    return trials.exclude_keys(table(spark, sf_dir, "events"), "user_id").select("event_id", "user_id")
+    return trials.exclude_keys(events(spark, sf_dir), "user_id").select("event_id", "user_id")
 
 
 def zscore(spark, sf_dir):
@@ -522,6 +521,13 @@ def iir_filter(spark, sf_dir):
     )
 
 
+def filter_whole_recordings(spark, sf_dir):
+    """Values of each user in time order as one long series, cut by day."""
+    rows = events(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("at"), "value")
+    done = filter_recordings(rows, ["user_id"], "at", "value", F.to_date("at.ts"), FILTER_B, FILTER_A)
+    return done.select(F.col("at.event_id").alias("event_id"), "user_id", rounded("filtered", "filtered"))
+
+
 QUERIES = {
     function.__name__: function
     for function in (
@@ -534,6 +540,6 @@ QUERIES = {
         svm_classify, mlp_classify, fit_and_score, udf_predict, encoded_text_label,
         submission_align, csv_round_trip, tsv_round_trip,
         asof_label, marker_runs, first_n_of_run, trial_segments, run_task_class, exclude_keys,
-        zscore, channel_center, class_covariance, log_variance, csp_features, iir_filter,
+        zscore, channel_center, class_covariance, log_variance, csp_features, iir_filter, filter_whole_recordings,
     )
 }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from quillwave.operators import trials as tr
-from quillwave.operators.filters import forward_backward, gather_series, zero_phase
+from quillwave.operators.filters import filter_recordings, forward_backward, gather_series, zero_phase
 from quillwave.operators.skew import JoinLimits
 from quillwave.plans.motor_imagery import csp_features
 
@@ -111,16 +111,33 @@ def test_filter(spark):
     # Direct: extend by odd reflection, filter forward, then backward.
     gain = sum(b) / sum(a)
     rest = [gain - b[0], b[2] - a[2] * gain]
-    for series, got in zip(x, forward_backward(x, b, a)):
+    for series, got in zip(x, forward_backward(list(x), b, a)):
         pad = 9
         ext = np.r_[2 * series[0] - series[pad:0:-1], series, 2 * series[-1] - series[-2 : -2 - pad : -1]]
         once = plain_filter(ext, b, a, rest)[::-1]
         np.testing.assert_allclose(got, plain_filter(once, b, a, rest)[::-1][pad:-pad], atol=1e-10)
-    np.testing.assert_allclose(forward_backward(np.ones((1, 9)), b, a), np.full((1, 9), gain**2), atol=1e-12)
+    np.testing.assert_allclose(forward_backward([np.ones(9)], b, a), np.full((1, 9), gain**2), atol=1e-12)
 
     flat = [(i, s, float(x[i, s])) for i in range(3) for s in range(40)] + [(3, 0, 1.0), (4, 0, 2.0), (4, 1, 2.0)]
     df = spark.createDataFrame(flat, "k int, sample int, value double").repartition(4)
     got = gather_series(df, ["k"]).withColumn("series", zero_phase(F.col("series"), b, a))
     series = {r.k: r.series for r in got.collect()}
-    np.testing.assert_allclose([series[i] for i in range(3)], forward_backward(x, b, a), atol=1e-12)
+    np.testing.assert_allclose([series[i] for i in range(3)], forward_backward(list(x), b, a), atol=1e-12)
     assert series[4] == pytest.approx([2 * gain**2] * 2)
+
+
+@pytest.mark.parametrize("pad", [None, 0, 30])
+@pytest.mark.parametrize("size", [1, 4, 1000])
+def test_long_series_in_chunks(spark, size, pad):
+    b, a = [0.1, 0.0, -0.1], [1.0, -1.6, 0.8]
+    draw = np.random.default_rng(3)
+    series = {k: draw.normal(size=n) for k, n in enumerate((90, 1, 2, 17))}
+    # Gaps in time: chunks have different lengths.
+    times = {k: np.cumsum(draw.integers(1, 4, size=len(x))) for k, x in series.items()}
+    flat = [(k, int(t), float(v)) for k, x in series.items() for t, v in zip(times[k], x)]
+    df = spark.createDataFrame(flat, "k int, t int, v double").repartition(4)
+    got = {}
+    for r in filter_recordings(df, ["k"], "t", "v", F.floor(F.col("t") / size), b, a, pad=pad).orderBy("t").collect():
+        got.setdefault(r.k, []).append(r.filtered)
+    for k, x in series.items():
+        np.testing.assert_allclose(got[k], forward_backward([x], b, a, pad)[0], atol=1e-9)
