@@ -131,7 +131,6 @@ def filter_recordings(
     """
     rule = Recursion(b, a)
     wanted_pad = rule.default_pad if pad is None else pad
-    key_types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     chunk_keys = [*keys, "_chunk"]
     placed = reduce(and_, (F.col(c).isNotNull() for c in [*keys, "_chunk"]))
     cells = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("at"), F.col(value_col).cast("double").alias("x"))))
@@ -146,7 +145,6 @@ def filter_recordings(
             F.transform("_cells", lambda c: c["x"]).alias("_x"),
         )
     )
-    chunk_type = chunks.schema["_chunk"].dataType.simpleString()
 
     def arrays(column: pd.Series) -> list[np.ndarray]:
         return [np.asarray(row, dtype=float) for row in column]
@@ -162,56 +160,76 @@ def filter_recordings(
         done, _ = rule.run(arrays(series), np.array(memory.tolist(), dtype=float))
         return pd.Series([row.tolist() for row in done])
 
-    def forward_borders(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_chunk", ignore_index=True)
-        p = min(wanted_pad, int(group["_n"].sum()) - 1)
-        head, tail = np.empty(0), np.empty(0)
-        for row in group["_head"]:
-            if len(head) > p:
-                break
-            head = np.concatenate([head, row])
-        for row in group["_tail"][::-1]:
-            if len(tail) > p:
-                break
-            tail = np.concatenate([row, tail])
-        before, after = _edges(head, tail, p) if p else (np.empty(0), np.empty(0))
-        first = before[0] if p else head[0]
-        _, memory = rule.run([before], np.outer(first, rule.steady))
-        memory = memory[0]
-        starts = []
-        for n, left in zip(group["_n"], group["_left"]):
-            starts.append(memory.tolist())
-            memory = rule.skip(memory, int(n)) + left
-        turn = None
-        if p:
-            past, _ = rule.run([after], memory[None])
-            _, memory = rule.run([past[0][::-1]], np.outer(past[0][-1], rule.steady))
-            turn = memory[0].tolist()
-        return group[chunk_keys].assign(_start=starts, _turn=[turn] * len(group))
-
-    def backward_borders(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_chunk", ascending=False, ignore_index=True)
-        turn = group["_turn"][0]
-        memory = np.asarray(turn if turn is not None else group["_last"][0] * rule.steady, dtype=float)
+    def borders_of(memory: np.ndarray, sizes, lefts) -> tuple[list, np.ndarray]:
+        """Memory at the start of each chunk, and after the last one."""
         starts = []
-        for n, left in zip(group["_n"], group["_left"]):
+        for n, left in zip(sizes, lefts):
             starts.append(memory.tolist())
             memory = rule.skip(memory, int(n)) + left
-        return group[chunk_keys].assign(_start=starts)
+        return starts, memory
+
+    def ends_of(parts: list, length: int) -> np.ndarray:
+        """The first ``length`` points of consecutive parts."""
+        taken = []
+        for part in parts:
+            taken += list(part)
+            if len(taken) >= length:
+                break
+        return np.array(taken[:length], dtype=float)
+
+    @F.pandas_udf("starts array<array<double>>, turn array<double>")
+    def forward_borders(sizes: pd.Series, lefts: pd.Series, heads: pd.Series, tails: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, left, head_parts, tail_parts in zip(sizes, lefts, heads, tails):
+            p = min(wanted_pad, int(sum(n)) - 1)
+            head = ends_of(head_parts, p + 1)
+            tail = ends_of([part[::-1] for part in tail_parts[::-1]], p + 1)[::-1]
+            before, after = _edges(head, tail, p) if p else (np.empty(0), np.empty(0))
+            _, memory = rule.run([before], np.outer(before[0] if p else head[0], rule.steady))
+            starts, memory = borders_of(memory[0], n, left)
+            turn = None
+            if p:
+                past, _ = rule.run([after], memory[None])
+                _, back = rule.run([past[0][::-1]], np.outer(past[0][-1], rule.steady))
+                turn = back[0].tolist()
+            out.append((starts, turn))
+        return pd.DataFrame(out, columns=["starts", "turn"])
+
+    @F.pandas_udf("array<array<double>>")
+    def backward_borders(sizes: pd.Series, lefts: pd.Series, turns: pd.Series, lasts: pd.Series) -> pd.Series:
+        out = []
+        for n, left, turn, last in zip(sizes, lefts, turns, lasts):
+            # Without an extension the backward pass starts at the last point.
+            memory = rule.steady * last if turn is None else np.asarray(turn, dtype=float)
+            starts, _ = borders_of(memory, n[::-1], left[::-1])
+            out.append(starts[::-1])
+        return pd.Series(out, dtype=object)
+
+    def per_series(rows: DataFrame, *columns: str) -> DataFrame:
+        """One row per series with its chunks' small values as arrays."""
+        listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_chunk", *columns))).alias("_list"))
+        return listed.select(*keys, *[F.col(f"_list.{c}").alias(c) for c in ("_chunk", *columns)])
+
+    def per_chunk(rows: DataFrame, *keep: str) -> DataFrame:
+        cells = F.explode(F.arrays_zip("_chunk", "_starts")).alias("_cell")
+        return rows.select(*keys, *keep, cells).select(
+            *keys, *keep, F.col("_cell._chunk").alias("_chunk"), F.col("_cell._starts").alias("_start")
+        )
 
     edge = wanted_pad + 1
-    borders = (
+    summary = per_series(
         chunks.select(
             *chunk_keys,
             F.size("_x").alias("_n"),
             leaves("_x").alias("_left"),
             F.slice("_x", 1, edge).alias("_head"),
             F.slice("_x", F.greatest(F.size("_x") - edge, F.lit(0)) + 1, edge).alias("_tail"),
-        )
-        .groupBy(*keys)
-        .applyInPandas(
-            forward_borders, f"{key_types}, _chunk {chunk_type}, _start array<double>, _turn array<double>"
-        )
+        ),
+        "_n", "_left", "_head", "_tail",
+    )
+    found = summary.select(*keys, "_chunk", forward_borders("_n", "_left", "_head", "_tail").alias("_b"))
+    borders = per_chunk(
+        found.select(*keys, "_chunk", F.col("_b.starts").alias("_starts"), F.col("_b.turn").alias("_turn")), "_turn"
     )
     # Read twice below, so written once.
     forward = settle(
@@ -219,12 +237,19 @@ def filter_recordings(
             *chunk_keys, "_at", "_turn", F.reverse(filtered("_x", "_start")).alias("_y")
         )
     )
-    borders = (
+    summary = per_series(
         forward.select(
-            *chunk_keys, "_turn", F.size("_y").alias("_n"), F.get("_y", F.lit(0)).alias("_last"), leaves("_y").alias("_left")
+            *chunk_keys, F.size("_y").alias("_n"), leaves("_y").alias("_left"), "_turn", F.get("_y", F.lit(0)).alias("_last")
+        ),
+        "_n", "_left", "_turn", "_last",
+    )
+    final = F.size("_n") - 1
+    borders = per_chunk(
+        summary.select(
+            *keys,
+            "_chunk",
+            backward_borders("_n", "_left", F.get("_turn", F.lit(0)), F.get("_last", final)).alias("_starts"),
         )
-        .groupBy(*keys)
-        .applyInPandas(backward_borders, f"{key_types}, _chunk {chunk_type}, _start array<double>")
     )
     done = forward.join(borders, chunk_keys).select(
         *keys, "_at", F.reverse(filtered("_y", "_start")).alias("_z")

@@ -8,6 +8,8 @@ from quillwave.plans.queries import (
     CHANNELS,
     DIM,
     ENCODED_LENGTH,
+    FILTER_A,
+    FILTER_B,
     KEYWORDS,
     SAMPLES,
     STOP_WORDS,
@@ -152,6 +154,41 @@ ID_SCORES = ", ".join(
     f"coalesce(list_sum(list_transform(ids, lambda i: (i * {c + 1}) % 7)), 0)" for c in range(3)
 )
 
+
+
+def _filtered(series: str) -> str:
+    """CTEs ending in ``filtered(k, i, value)`` from ``series(k, i, x)``, i = 1 .. n.
+
+    The difference equation as two recursions, one step per sample.
+    """
+    (b0, b1, b2), (_, a1, a2) = FILTER_B, FILTER_A
+    gain = sum(FILTER_B) / sum(FILTER_A)
+    y = "({b0}::DOUBLE * {x} + {m})"
+
+    def one_way(name: str, source: str) -> str:
+        first = y.format(b0=b0, x="x", m=f"{gain - b0}::DOUBLE * x")
+        later = y.format(b0=b0, x="e.x", m="m1")
+        return (
+            f"{name} AS (SELECT k, pos, {first} AS y, {b2 - a2 * gain}::DOUBLE * x + {b1}::DOUBLE * x - {a1}::DOUBLE * {first} AS m1, "
+            f"{b2}::DOUBLE * x - {a2}::DOUBLE * {first} AS m2 FROM {source} WHERE pos = 1 UNION ALL "
+            f"SELECT e.k, e.pos, {later}, m2 + {b1}::DOUBLE * e.x - {a1}::DOUBLE * {later}, "
+            f"{b2}::DOUBLE * e.x - {a2}::DOUBLE * {later} FROM {name} f JOIN {source} e ON e.k = f.k AND e.pos = f.pos + 1)"
+        )
+
+    return (
+        f"series AS ({series}), "
+        "padded AS (SELECT *, least(9, n - 1) AS p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM series)), "
+        "ends AS (SELECT k, max(x) FILTER (i = 1) AS x1, max(x) FILTER (i = n) AS xn FROM padded GROUP BY k), "
+        "extended AS (SELECT k, i + p AS pos, x FROM padded "
+        "UNION ALL SELECT k, 2 - i + p, 2 * x1 - x FROM padded JOIN ends USING (k) WHERE i BETWEEN 2 AND p + 1 "
+        "UNION ALL SELECT k, 2 * n - i + p, 2 * xn - x FROM padded JOIN ends USING (k) WHERE i BETWEEN n - p AND n - 1), "
+        f"{one_way('forth', 'extended')}, "
+        "turned AS (SELECT k, max(pos) OVER (PARTITION BY k) + 1 - pos AS pos, y AS x FROM forth), "
+        f"{one_way('back', 'turned')}, "
+        "filtered AS (SELECT s.k, s.i, b.y AS value FROM padded s JOIN back b ON b.k = s.k AND b.pos = s.n + s.p + 1 - s.i)"
+    )
+
+
 ORACLES = {
     "clean_text": f"SELECT doc_id, {clean('text')} AS clean_text FROM documents",
     "stream_clean_text": f"SELECT doc_id, {clean(strip_noise('text'))} AS clean_text FROM documents",
@@ -331,4 +368,17 @@ ORACLES = {
         f"WITH {TRIALS}, energy AS (SELECT trial, channel AS k, sum(value * value) AS e FROM cells GROUP BY ALL) "
         "SELECT trial, k, round(ln(e / sum(e) OVER (PARTITION BY trial)), 6) AS value FROM energy"
     ),
+    "iir_filter": (
+        f"WITH RECURSIVE {TRIALS}, "
+        + _filtered(f"SELECT trial * {CHANNELS} + channel AS k, sample + 1 AS i, value AS x FROM cells")
+        + f" SELECT k // {CHANNELS} AS trial, (k % {CHANNELS})::INTEGER AS channel, (i - 1)::INTEGER AS sample, "
+        "round(value, 6) AS value FROM filtered"
+    ),
+    "filter_whole_recordings": (
+        "WITH RECURSIVE numbered AS (SELECT event_id, user_id, value, "
+        "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+        + _filtered("SELECT user_id AS k, i, value AS x FROM numbered")
+        + " SELECT n.event_id, n.user_id, round(f.value, 6) AS filtered FROM numbered n "
+        "JOIN filtered f ON f.k = n.user_id AND f.i = n.i"
+    ),
 }

@@ -522,9 +522,9 @@ def iir_filter(spark, sf_dir):
 
 
 def filter_whole_recordings(spark, sf_dir):
-    """Values of each user in time order as one long series, cut by day."""
+    """Values of each user in time order as one long series, cut by week."""
     rows = events(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("at"), "value")
-    done = filter_recordings(rows, ["user_id"], "at", "value", F.to_date("at.ts"), FILTER_B, FILTER_A)
+    done = filter_recordings(rows, ["user_id"], "at", "value", F.trunc("at.ts", "week"), FILTER_B, FILTER_A)
     return done.select(F.col("at.event_id").alias("event_id"), "user_id", rounded("filtered", "filtered"))
 
 

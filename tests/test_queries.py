@@ -6,7 +6,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import plan
 
-ROWS_ONLY = {"svm_classify", "mlp_classify", "fit_and_score", "csp_features", "iir_filter", "filter_whole_recordings"}
+ROWS_ONLY = {"svm_classify", "mlp_classify", "fit_and_score", "csp_features"}
 
 
 @pytest.fixture(scope="module")
