@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwave.functions.text import clean_text
+from quillwave.functions.text import clean_words
 from quillwave.functions.vectors import indicators, ratio_or_zero, scale, zeros
 from quillwave.operators.skew import fits
 from quillwave.session import settle
@@ -33,17 +33,18 @@ def text_words(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """One row per word of the cleaned text, next to the ``keep`` columns."""
     # explode_outer: the inner form makes Catalyst add a "not empty" filter,
     # which would evaluate the cleaning a second time.
-    words = F.explode_outer(F.split(clean_text(F.col(text_col)), " ", -1))
+    words = F.explode_outer(clean_words(F.col(text_col)))
     return df.select(*keep, words.alias("word")).where(F.col("word") != "")
 
 
 def word_bags(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, word, n)`` per text. A text without words keeps one row with ''.
+    """``(id, word, n)`` per text. The word '' stands for no word, so that a text
+    without words keeps a row.
 
     The one shuffle moves each raw text once, by its unique id. Everything
     that is later grouped by the id stays where it is.
     """
-    words = F.explode_outer(F.split(clean_text(F.col(text_col)), " ", -1))
+    words = F.explode_outer(clean_words(F.col(text_col)))
     return (
         df.select(id_col, text_col)
         .repartition(id_col)
@@ -160,7 +161,7 @@ def with_keyword_indicators(
     df: DataFrame, id_col: str, text_col: str, features: DataFrame, keywords: list[str]
 ) -> DataFrame:
     """Append one 0/1 number per keyword to the ``vector`` of each text."""
-    tokens = F.split(clean_text(F.col(text_col)), " ", -1)
+    tokens = clean_words(F.col(text_col))
     # The same repartitioned scan as in word_bags, so the exchange is reused.
     flags = df.select(id_col, text_col).repartition(id_col).select(
         id_col, indicators(tokens, keywords).alias("_flags")
