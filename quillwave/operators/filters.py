@@ -157,7 +157,8 @@ def filter_recordings(
 
     @F.pandas_udf("array<double>")
     def filtered(series: pd.Series, memory: pd.Series) -> pd.Series:
-        done, _ = rule.run(arrays(series), np.array(memory.tolist(), dtype=float))
+        start = np.array(memory.tolist(), dtype=float).reshape(len(series), len(rule.steady))
+        done, _ = rule.run(arrays(series), start)
         return pd.Series([row.tolist() for row in done])
 
     def borders_of(memory: np.ndarray, sizes, lefts) -> tuple[list, np.ndarray]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwave.functions.vectors import cross_entropy
-from quillwave.operators.sequences import carried_before
+from quillwave.operators.sequences import minimum_before
 
 
 def accuracy(df: DataFrame, prediction_col: str, label_col: str) -> DataFrame:
@@ -53,6 +53,6 @@ def running_best(
     log: DataFrame, keys: list[str], epoch_col: str, loss_col: str, chunk: Column
 ) -> DataFrame:
     """Add the lowest loss of all earlier epochs, and whether this one is lower."""
-    out = carried_before(log, keys, [epoch_col], chunk, F.min(loss_col), "best_before")
+    out = minimum_before(log, keys, [epoch_col], chunk, loss_col, "best_before")
     better = F.col("best_before").isNull() | (F.col(loss_col) < F.col("best_before"))
     return out.withColumn("improved", better)

@@ -81,7 +81,7 @@ def fourier_features(vector: Column, dim: int, n_features: int, gamma: float, se
         draw = np.random.default_rng(seed)
         weights = draw.normal(scale=np.sqrt(2 * gamma), size=(dim, n_features))
         shift = draw.uniform(0, 2 * np.pi, size=n_features)
-        block = np.vstack(batch.to_numpy()).astype(float)
+        block = np.array(batch.tolist(), dtype=float).reshape(len(batch), dim)
         return pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(block @ weights + shift)))
 
     return run(vector)

@@ -34,23 +34,23 @@ def _chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     return df.withColumn("_chunk", chunk).where(placed)
 
 
-def carried_before(
-    df: DataFrame, keys: list[str], order: list[str], chunk: Column, total: Column, out: str
+def minimum_before(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, value_col: str, out: str
 ) -> DataFrame:
-    """Running minimum over all earlier rows of the recording.
-
-    ``total`` is the minimum of a column, as an aggregate.
-    """
+    """Add the minimum of ``value_col`` over all earlier rows of the recording."""
     rows = _chunked(df, keys, chunk)
-    summary = rows.groupBy(*keys, "_chunk").agg(total.alias("_own"))
-    carried = summary.withColumn("_carried", F.min("_own").over(_earlier(keys))).drop("_own")
+    lowest = F.min(value_col)
+    carried = (
+        rows.groupBy(*keys, "_chunk")
+        .agg(lowest.alias("_own"))
+        .select(*keys, "_chunk", F.min("_own").over(_earlier(keys)).alias("_carried"))
+    )
     inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = rows.withColumn("_local", total.over(inside))
-    joined = local.join(carried, [*keys, "_chunk"])
+    joined = rows.withColumn("_local", lowest.over(inside)).join(carried, [*keys, "_chunk"])
     return joined.withColumn(out, F.least("_local", "_carried")).drop("_local", "_carried", "_chunk")
 
 

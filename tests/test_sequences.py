@@ -83,7 +83,10 @@ def test_runs(spark, size):
 
 def test_runs_shuffle_rows_once(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("rec"), F.col("id").alias("t"), F.lit("a").alias("m"))
-    text = plan(mark_runs(df, ["rec"], ["t"], "m", F.floor(F.col("t") / 10)))
+    marked = mark_runs(df, ["rec"], ["t"], "m", F.floor(F.col("t") / 10))
+    marked.collect()
+    text = plan(marked)
+    assert "ReusedExchange" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
