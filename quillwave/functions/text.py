@@ -10,8 +10,6 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # The characters Python's str.split() treats as whitespace.
 # Java's \s covers only the ASCII ones.
-WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
-# The same characters one by one.
 WHITESPACE_CHARS = "".join(
     chr(code)
     for code in (
@@ -21,14 +19,14 @@ WHITESPACE_CHARS = "".join(
 )
 
 
-def _spaced(text: Column) -> Column:
-    """Lower case, no ASCII punctuation, every whitespace a plain space."""
-    return F.translate(F.lower(text), WHITESPACE_CHARS + PUNCTUATION, " " * len(WHITESPACE_CHARS))
+def _spaced(text: Column, dropped: str) -> Column:
+    """Every whitespace a plain space, and without the ``dropped`` characters."""
+    return F.translate(text, WHITESPACE_CHARS + dropped, " " * len(WHITESPACE_CHARS))
 
 
 def clean_text(text: Column) -> Column:
     """Lower case, no ASCII punctuation, words joined by one space."""
-    return F.trim(F.regexp_replace(_spaced(text), " {2,}", " "))
+    return F.trim(F.regexp_replace(_spaced(F.lower(text), PUNCTUATION), " {2,}", " "))
 
 
 def clean_words(text: Column) -> Column:
@@ -37,12 +35,12 @@ def clean_words(text: Column) -> Column:
     Cheaper than splitting :func:`clean_text` where empty items are dropped
     later anyway.
     """
-    return F.split(_spaced(text), " ", -1)
+    return F.split(_spaced(F.lower(text), PUNCTUATION), " ", -1)
 
 
 def split_words(text: Column) -> Column:
     """Split on any whitespace, without empty items."""
-    return F.filter(F.split(text, WHITESPACE, -1), lambda word: word != "")
+    return F.filter(F.split(_spaced(text, ""), " ", -1), lambda word: word != "")
 
 
 def split_clean(clean: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillwave.functions.text import PUNCTUATION, WHITESPACE
+from quillwave.functions.text import PUNCTUATION
 from quillwave.operators.trials import EXCLUDED_SUBJECTS, FIST_FEET_RUNS, LEFT_RIGHT_RUNS
 from quillwave.plans.queries import (
     CHANNELS,
@@ -18,6 +18,9 @@ from quillwave.plans.queries import (
     toy_weight,
 )
 
+# Whitespace as a pattern: the class of separators, and control characters.
+WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]+"
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

@@ -65,4 +65,4 @@ def test_recordings_prune_runs_and_names(spark, folder):
 
 
 def test_single_text(spark):
-    assert rows(files.single_text(spark, "One short text")) == [(0, "I think this movie is great")]
+    assert rows(files.single_text(spark, "One short text")) == [(0, "One short text")]
