@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwave.llm import neardup, packing, quality
+from quillwave.llm import neardup, packing, pii, quality
 from quillwave.llm.common import written
 from quillwave.llm.queries import BYTE_BPE, table
 
@@ -32,6 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _kept(docs, neardup.near_duplicates(docs, words=5))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the name of its kind; ``n_chars`` follows."""
+    return pii.redacted(docs.select(*_COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place every document in sequences of 1024 tokens."""
     return packing.pack(docs, BYTE_BPE)
@@ -40,6 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("packing", packed),
 ]
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillwave.llm import bpe, neardup, packing, quality, scoring, tokenfile
+from quillwave.llm import archive, bpe, neardup, packing, pii, quality, scoring, tokenfile, topk
 from quillwave.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +33,19 @@ def op6_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op8_zipped_web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive.write_and_read(table(spark, sf_dir, "pages"), spark)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -44,8 +58,33 @@ QUERIES = {
         op4_token_files,
         op5_quality_rules,
         op6_chosen_path_near_duplicates,
+        op7_block_pruned_top_k,
+        op8_zipped_web_archives,
+        op9_weak_supervision_pii,
         op10_best_fit_packing,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_block_pruned_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op8_zipped_web_archives": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+        FROM f""",
+}
