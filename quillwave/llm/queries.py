@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwave.llm import archive, bpe, neardup, packing, pii, quality, scoring, tokenfile, topk
+from quillwave.llm import archive, bpe, neardup, packing, pii, quality, scoring, tokenfile, topk, webtext
 from quillwave.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), WORD_BPE))
 
 
+def op2_wrapper_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe_pair_index,
+        op2_wrapper_main_text,
         op3_context_tree_scores,
         op4_token_files,
         op5_quality_rules,
