@@ -55,6 +55,8 @@ def on_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[list
                     [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)],
                     schema=arrow,
                 )
+            # Workers are used again; what Arrow holds in reserve counts as theirs.
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

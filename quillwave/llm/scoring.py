@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwave.llm.common import LOWER_ASCII, arrow_schema, on_batches, written
+from quillwave.llm.common import LOWER_ASCII, arrow_schema, on_batches, slices, written
 
 DEPTH = 4
 # In no UTF-8 text: fills the context before a text and ends it.
 _EDGE = b"\xff"
-_STEP = 4_000_000
-_FLUSH = 400_000
+_STEP = 2_000_000
+_FLUSH = 250_000
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,19 +58,13 @@ def is_held_out(doc_id: object, tenth: int = 0) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == tenth
 
 
-def _runs(texts: list[bytes]) -> Iterator[range]:
-    begin = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= _STEP:
-            yield range(begin, i + 1)
-            begin, held = i + 1, 0
-    if begin < len(texts):
-        yield range(begin, len(texts))
-
-
-def _lower(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or "").encode().translate(LOWER_ASCII) for t in batch.column(1).to_pylist()]
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids and lower-cased texts of a batch, a few MB at a time."""
+    texts = batch.column(1).cast(pa.string()).fill_null("")
+    for rows in slices(texts, _STEP):
+        some = texts[rows.start : rows.stop].to_pylist()
+        yield batch.column(0)[rows.start : rows.stop], [t.encode().translate(LOWER_ASCII) for t in some]
+    pa.default_memory_pool().release_unused()
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -90,11 +84,10 @@ def counts(docs: DataFrame) -> DataFrame:
         words: Counter = Counter()
         gram: dict[int, int] = {}
         for batch in batches:
-            texts = _lower(batch)
-            held = [is_held_out(i) for i in batch.column(0).to_pylist()]
-            for part in _runs(texts):
+            for names, texts in _parts(batch):
+                held = [is_held_out(i) for i in names.to_pylist()]
                 for out in (False, True):
-                    some = [texts[i] for i in part if held[i] == out]
+                    some = [t for t, h in zip(texts, held) if h == out]
                     if not some:
                         continue
                     if not out:
@@ -269,9 +262,7 @@ def score(docs: DataFrame, sent_words: int = 400_000, sent_grams: int = 1_500_00
         known, keys, values = sent.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts, names = _lower(batch), batch.column(0)
-            for part in _runs(texts):
-                some = [texts[i] for i in part]
+            for names, some in _parts(batch):
                 out: list[list] = [[] for _ in range(9)]
                 gram, bounds = grams(some)
                 coded = pa.array(gram).dictionary_encode()
@@ -302,7 +293,7 @@ def score(docs: DataFrame, sent_words: int = 400_000, sent_grams: int = 1_500_00
                     for column, field in zip(out[1:], fields):
                         column.append(field)
                     row += 1
-                columns = [names[part.start : part.stop], *out[1:]]
+                columns = [names, *out[1:]]
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow
                 )

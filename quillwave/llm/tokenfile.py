@@ -40,7 +40,7 @@ from quillwave.session import scratch_path
 _MAGIC = b"QWIDS01\n"
 _HEAD, _HEAD_SIZE = "<IIHH", struct.calcsize("<IIHH")
 _FOOT, _FOOT_SIZE = "<QQQ8s", struct.calcsize("<QQQ8s")
-_SLICE = 24_000_000
+_SLICE = 12_000_000
 # A blank starts a new piece of a byte-level vocabulary only before a visible
 # character. Texts with other blanks, or special tokens, are encoded whole.
 _ODD = (
