@@ -58,7 +58,7 @@ def synonym_augment(
     ).repartition(id_col)
     wanted = rows.where(F.col("_weight") > 0)
     found = attach_by_key(
-        candidate_words(wanted, id_col, text_col, stops), owned, ["word"], spread_on=id_col, limits=limits
+        candidate_words(wanted, id_col, text_col, stops), owned, ["word"], limits=limits
     )
     copies = wanted.select(id_col, F.explode(F.sequence(F.lit(1), F.col("_weight"))).alias("copy"))
     draws = found.join(copies, id_col).withColumn(
@@ -76,7 +76,7 @@ def synonym_augment(
     )
     swaps = (
         attach_by_key(
-            chosen, slots.select("slot", "synonym"), ["slot"], spread_on=id_col, limits=limits, settled=True
+            chosen, slots.select("slot", "synonym"), ["slot"], limits=limits, settled=True
         )
         .groupBy(id_col, "copy")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "synonym"))).alias("_swaps"))

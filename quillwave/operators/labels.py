@@ -65,7 +65,7 @@ def label_conflicts(
         .where((F.col("n") > 1) & (F.col("_low") != F.col("_high")))
         .drop("_low", "_high")
     )
-    found = attach_by_key(keyed, groups, ["_text"], spread_on=id_col, size_col="n", limits=limits)
+    found = attach_by_key(keyed, groups, ["_text"], limits=limits)
     return found.select("first_id", id_col, label_col, "n", "first_label")
 
 

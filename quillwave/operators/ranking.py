@@ -13,6 +13,20 @@ _PART_BITS = 33
 _ROW_MASK = (1 << _PART_BITS) - 1
 
 
+def least_count(counted: DataFrame, count_col: str, most: int) -> int:
+    """The lowest power of two that at most ``most`` rows reach in ``count_col``.
+
+    Found from at most 64 counts of powers; no rows are sorted.
+    """
+    power = F.floor(F.log2(count_col)).alias("power")
+    reached = 0
+    for row in sorted(counted.groupBy(power).count().collect(), key=lambda r: -r["power"]):
+        reached += row["count"]
+        if reached > most:
+            return 1 << (row["power"] + 1)
+    return 1
+
+
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Add the 1-based position of each row in ``order`` as ``out``.
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,18 +12,12 @@ from quillwave.session import settle
 
 @dataclass(frozen=True)
 class JoinLimits:
-    """Sizes that decide how :func:`attach_by_key` joins.
+    """``broadcast_rows``: the largest key table that is broadcast.
 
-    broadcast_rows: largest key table that is broadcast. Such a table has a
-        key and a few numbers per row, so this is some tens of MB.
-    rows_per_slice: rows of one key that one task should take.
-    hot_keys: how many of the largest keys are looked at for slicing. A key
-        outside them holds fewer than 1 / hot_keys of all rows.
+    Such a table has a key and a few numbers per row, so this is some tens of MB.
     """
 
     broadcast_rows: int = 500_000
-    rows_per_slice: int = 2_000_000
-    hot_keys: int = 10_000
 
 
 DEFAULT_LIMITS = JoinLimits()
@@ -41,48 +33,27 @@ def attach_by_key(
     table: DataFrame,
     keys: list[str],
     *,
-    spread_on: str,
-    size_col: str | None = None,
     how: str = "inner",
     limits: JoinLimits = DEFAULT_LIMITS,
     settled: bool = False,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``table`` (one row per key) to ``rows``.
 
-    A small table is counted and broadcast. A larger one is joined by shuffle,
-    where the rows of a hot key are spread over several slices and the key's
-    single table row is repeated once per slice.
+    A small table is counted and broadcast. A larger one is joined by shuffle.
+    Both sides are then plain exchanges, so adaptive execution splits the rows
+    of any hot key over several tasks, whatever their number.
 
-    size_col names a column of ``table`` with the number of ``rows`` per key;
-    without it the sizes are counted. ``settled`` says that ``table`` has been
-    written already.
+    ``settled`` says that ``table`` has been written already; ``null_safe``
+    that a NULL key is a key like any other.
     """
     if not settled:
         table = settle(table)
-    if fits(table, limits.broadcast_rows):
-        return rows.join(F.broadcast(table), keys, how)
-
-    sizes = table.select(*keys, F.col(size_col).alias("_size")) if size_col else (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    )
-    hot = settle(
-        sizes.where(F.col("_size") > limits.rows_per_slice)
-        .orderBy(F.col("_size").desc(), *keys)
-        .limit(limits.hot_keys)
-        .select(*keys, F.ceil(F.col("_size") / limits.rows_per_slice).cast("int").alias("_slices"))
-    )
-    slices = F.coalesce(F.col("_slices"), F.lit(1))
-    # A NULL key matches nothing, so its rows may go anywhere.
-    no_key = reduce(or_, (F.col(k).isNull() for k in keys))
-    wide = F.when(no_key, F.lit(1 << 20)).otherwise(slices)
-    left = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(spread_on), wide).cast("int"))
-        .drop("_slices")
-    )
-    right = (
-        table.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("_slices")
-    )
-    return left.join(right, [*keys, "_slice"], how).drop("_slice")
+    small = fits(table, limits.broadcast_rows)
+    if null_safe:
+        table = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+        on = [rows[k].eqNullSafe(table[f"_key_{k}"]) for k in keys]
+    else:
+        on = keys
+    joined = rows.join(F.broadcast(table) if small else table, on, how)
+    return joined.drop(*[f"_key_{k}" for k in keys]) if null_safe else joined

@@ -63,7 +63,6 @@ def zscore(
     keys: list[str],
     value_col: str,
     *,
-    spread_on: str,
     out: str = "z",
     limits: JoinLimits = DEFAULT_LIMITS,
 ) -> DataFrame:
@@ -73,7 +72,7 @@ def zscore(
         F.stddev_pop(value_col).alias("_deviation"),
         F.count(F.lit(1)).alias("_n"),
     )
-    joined = attach_by_key(df, stats, keys, spread_on=spread_on, size_col="_n", limits=limits)
+    joined = attach_by_key(df, stats, keys, limits=limits, null_safe=True)
     centred = F.col(value_col) - F.col("_mean")
     return joined.withColumn(out, F.try_divide(centred, F.col("_deviation"))).drop("_mean", "_deviation", "_n")
 
@@ -96,7 +95,7 @@ def centre_channels(
     per_class = to_wide(
         channel_offsets(trials, trial_keys, class_col).withColumnRenamed("offset", "value"), [class_col]
     ).withColumnRenamed("values", "_offsets")
-    joined = attach_by_key(trials, per_class, [class_col], spread_on=trial_keys[-1], limits=limits)
+    joined = attach_by_key(trials, per_class, [class_col], limits=limits, null_safe=True)
     centred = F.zip_with("values", "_offsets", lambda value, offset: value - offset)
     return joined.withColumn("values", centred).drop("_offsets")
 
@@ -202,19 +201,23 @@ def spatial_patterns(
     covariance = {name: np.zeros((n_channels, n_channels)) for name in classes}
     for row in class_covariance(centred, class_col).collect():
         covariance[row[class_col]][row["i"], row["j"]] = row["value"]
+    absent = [name for name in classes if not covariance[name].any()]
+    if absent:
+        raise ValueError(f"no variance in the trials of {absent}")
     return _patterns(covariance[classes[0]], covariance[classes[1]], num).tolist()
 
 
-# Eigenvalues below this are replaced by their mean.
-_SMALLEST_EIGENVALUE = 1.0e-18
-
-
 def _patterns(first: np.ndarray, second: np.ndarray, num: int) -> np.ndarray:
-    values, axes = np.linalg.eigh(first + second)
-    values = np.where(values < _SMALLEST_EIGENVALUE, np.nanmean(values), values)
-    whiten = (axes / np.sqrt(values)).T
-    quotient = np.linalg.pinv(whiten @ first @ whiten.T) @ (whiten @ second @ whiten.T)
-    strength, directions = np.linalg.eig(quotient)
-    rising = np.argsort(strength.real)
-    picked = np.concatenate([rising[::-1][:num], rising[:num][::-1]])
-    return directions.real.T[picked] @ whiten
+    """The ``num`` directions at each end of the share that ``first`` has in the joint variance.
+
+    Directions without joint variance (relative to the largest) are left out;
+    in the others the joint variance is scaled to 1, so both classes' shares
+    come from one symmetric problem.
+    """
+    joint, axes = np.linalg.eigh(first + second)
+    spanned = joint > joint.max() * first.shape[0] * np.finfo(float).eps
+    scaled = axes[:, spanned] / np.sqrt(joint[spanned])
+    _, directions = np.linalg.eigh(scaled.T @ first @ scaled)
+    n = directions.shape[1]
+    ends = [*range(min(num, n)), *range(max(n - num, 0), n)]
+    return (scaled @ directions[:, ends]).T

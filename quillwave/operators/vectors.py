@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillwave.functions.text import clean_words
 from quillwave.functions.vectors import indicators, ratio_or_zero, scale, zeros
+from quillwave.operators.ranking import least_count
 from quillwave.operators.skew import fits
 from quillwave.session import settle
 
@@ -92,14 +93,8 @@ def mean_vectors(
     if fits(blocks, most):
         sums = _block_sums(bags.join(F.broadcast(blocks), "word", "left"), id_col, limits.block)
     else:
-        frequent = (
-            bags.where(F.col("word") != "")
-            .groupBy("word")
-            .agg(F.count(F.lit(1)).alias("_texts"))
-            .orderBy(F.col("_texts").desc(), "word")
-            .limit(most)
-            .select("word")
-        )
+        counted = settle(bags.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("_texts")))
+        frequent = counted.where(F.col("_texts") >= least_count(counted, "_texts", most)).select("word")
         # Empty texts ('' as word) can be many too: they stay on the hot side.
         hot = settle(
             frequent.unionByName(frequent.sparkSession.createDataFrame([("",)], "word string"))

@@ -55,7 +55,6 @@ def encode_fixed_length(
         words,
         vocabulary.select("word", F.col("word_index").cast("int").alias("_id")),
         ["word"],
-        spread_on=id_col,
         how="left",
         limits=limits,
     )

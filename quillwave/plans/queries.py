@@ -27,22 +27,19 @@ SAMPLES = 8
 ENCODED_LENGTH = 512
 KEYWORDS = ["the", "and", "of", "que", "le", "un", "is", "der"]
 STOP_WORDS = ["the", "and", "of", "to", "is", "le", "la", "de", "que", "der", "die", "el"]
+# Copies of each class.
 WEIGHTS = [3, 1, 0, 1, 3]
 TOY_CLASSES = 5
 FILTER_B = [0.2, 0.3, 0.2]
 FILTER_A = [1.0, -0.4, 0.1]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """Read a table. Too few files for the cores are spread out by ``key``."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if key and len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
-        df = df.repartition(key)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def rounded(column: str | Column, name: str) -> Column:
@@ -78,7 +75,7 @@ def embedding_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda channel: F.get("embedding", channel * SAMPLES + F.col("sample")).cast("double"),
     )
     return (
-        table(spark, sf_dir, "embeddings", "vec_id")
+        table(spark, sf_dir, "embeddings")
         .withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES - 1))))
         .select(F.col("vec_id").alias("trial"), (F.col("label") % 2).alias("class"), "sample", cells.alias("values"))
     )
@@ -154,7 +151,7 @@ def vocabulary_rank(spark, sf_dir):
 
 
 def word_vector_scan(spark, sf_dir):
-    stored = table(spark, sf_dir, "embeddings", "vec_id")
+    stored = table(spark, sf_dir, "embeddings")
     # Each word twice, first with zeros: the later line has to win.
     twice = stored.withColumn("factor", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).select(
         F.concat(F.lit("w"), F.col("vec_id")).alias("word"),
@@ -245,7 +242,7 @@ def shuffle_positions(spark, sf_dir):
 
 
 def oversample(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels", "doc_id").select("doc_id", F.col("quality").alias("label"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return split.oversample(rows, "label", WEIGHTS)
 
 
@@ -269,19 +266,19 @@ def synonym_augment(spark, sf_dir):
 
 
 def argmax_label(spark, sf_dir):
-    stored = table(spark, sf_dir, "embeddings", "vec_id")
+    stored = table(spark, sf_dir, "embeddings")
     return stored.select("vec_id", vx.argmax(F.col("embedding")).alias("predicted"))
 
 
 def accuracy(spark, sf_dir):
-    stored = table(spark, sf_dir, "embeddings", "vec_id").withColumn(
+    stored = table(spark, sf_dir, "embeddings").withColumn(
         "predicted", vx.argmax(F.slice("embedding", 1, 10))
     )
     return metrics.accuracy(stored, "predicted", "label").select(rounded("accuracy", "accuracy"), "n")
 
 
 def cross_entropy(spark, sf_dir):
-    stored = table(spark, sf_dir, "embeddings", "vec_id")
+    stored = table(spark, sf_dir, "embeddings")
     return metrics.mean_cross_entropy(stored, "embedding", "label").select(rounded("loss", "loss"), "n")
 
 
@@ -324,7 +321,7 @@ def running_best(spark, sf_dir):
 
 
 def _embedding_parts(spark, sf_dir):
-    stored = table(spark, sf_dir, "embeddings", "vec_id").select(
+    stored = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").alias("vector"), (F.col("label") % 5).alias("label")
     )
     return split.exact_split(models.with_features(stored), "vec_id", 0.1, out="is_dev")
@@ -366,7 +363,7 @@ def _make_linear_toy():
 
 
 def udf_predict(spark, sf_dir):
-    stored = table(spark, sf_dir, "embeddings", "vec_id")
+    stored = table(spark, sf_dir, "embeddings")
     scores = models.batch_scores(_make_linear_toy, F.col("embedding"), shapes=[[DIM]])
     return stored.select("vec_id", scores.alias("scores")).select("vec_id", vx.argmax(F.col("scores")).alias("predicted"))
 
@@ -481,7 +478,7 @@ def exclude_keys(spark, sf_dir):
 
 def zscore(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "event_type", "value")
-    return trials.zscore(rows, ["event_type"], "value", spread_on="event_id").select(
+    return trials.zscore(rows, ["event_type"], "value").select(
         "event_id", "event_type", rounded("z", "z")
     )
 

@@ -38,7 +38,7 @@ def expected(n_words, stops, extra):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [JoinLimits(), JoinLimits(broadcast_rows=0, rows_per_slice=2, hot_keys=2)])
+@pytest.mark.parametrize("limits", [JoinLimits(), JoinLimits(broadcast_rows=0)])
 def test_augment_matches_brute_force(spark, limits):
     extra = {f"x{i}": [f"y{i}", f"z{i}"] for i in range(9)}
     pairs = [(w, s) for w, options in {**SYNONYMS, **extra}.items() for s in options]

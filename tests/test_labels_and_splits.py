@@ -11,7 +11,7 @@ from quillwave.operators.ranking import global_rank
 from quillwave.operators.skew import JoinLimits, attach_by_key
 
 # Forces the shuffle join with slices for every key of more than 3 rows.
-SLICED = JoinLimits(broadcast_rows=0, rows_per_slice=3, hot_keys=2)
+SLICED = JoinLimits(broadcast_rows=0)
 
 
 @pytest.fixture(scope="module")
@@ -72,8 +72,8 @@ def test_corrections(spark):
 def test_sliced_join_equals_broadcast_join(spark, how):
     facts = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"))
     table = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    usual = attach_by_key(facts, table, ["k"], spread_on="id", how=how)
-    sliced = attach_by_key(facts, table, ["k"], spread_on="id", how=how, limits=SLICED)
+    usual = attach_by_key(facts, table, ["k"], how=how)
+    sliced = attach_by_key(facts, table, ["k"], how=how, limits=SLICED)
     assert "BroadcastHashJoin" in plan(usual)
     assert rows(usual, "id", "k", "v") == rows(sliced, "id", "k", "v")
 
@@ -92,7 +92,7 @@ def test_global_rank_over_many_partitions(spark):
 @pytest.mark.parametrize("digits", [1, 4])
 def test_exact_split(spark, n, fraction, up, digits):
     df = spark.range(n).repartition(3)
-    got = split.exact_split(df, "id", fraction, seed=9, round_up=up, prefix_digits=digits)
+    got = split.exact_split(df, "id", fraction, seed=9, round_up=up, digits=digits, few=2)
     first = {r.id for r in got.collect() if r.in_first}
     wanted = math.ceil(fraction * n) if up else math.floor(fraction * n)
     order = sorted(range(n), key=lambda i: hashlib.md5(f"9:{i}".encode()).hexdigest())
@@ -119,3 +119,14 @@ def test_oversample_counts(spark):
     assert got.count() == sum(1 + w for w in [3, 1, 0, 1, 3, 0]) * 10
     assert got.where("copy = 0").count() == 60
     assert "Exchange" not in plan(got)
+
+
+def test_split_of_null_ids_is_an_error(spark):
+    df = spark.createDataFrame([(1,), (None,)], "id long")
+    with pytest.raises(ValueError, match="NULL"):
+        split.exact_split(df, "id", 0.5)
+
+
+def test_negative_weights_add_no_copies(spark):
+    df = spark.createDataFrame([(1, 0), (2, 1)], "id int, label int")
+    assert rows(split.oversample(df, "label", [-3, 1]), "id", "copy") == [(1, 0), (2, 0), (2, 1)]

@@ -8,7 +8,7 @@ from quillwave.operators.filters import filter_recordings, forward_backward, gat
 from quillwave.operators.skew import JoinLimits
 from quillwave.plans.motor_imagery import csp_features
 
-SLICED = JoinLimits(broadcast_rows=0, rows_per_slice=7, hot_keys=1)
+SLICED = JoinLimits(broadcast_rows=0)
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def test_zscore_and_centre(signal, limits):
     data, df = signal
     long = tr.to_long(df)
     got = {(r.trial, r.channel, r.sample): r.z for r in
-           tr.zscore(long, ["trial", "channel"], "value", spread_on="sample", limits=limits).collect()}
+           tr.zscore(long, ["trial", "channel"], "value", limits=limits).collect()}
     for t, (_, x) in data.items():
         z = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
         np.testing.assert_allclose([[got[t, c, s] for s in range(30)] for c in range(4)], z, atol=1e-9)
@@ -47,7 +47,7 @@ def test_zscore_and_centre(signal, limits):
 
 def test_zscore_of_constant_is_null(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0)], "k int, v double")
-    assert [r.z for r in tr.zscore(df, ["k"], "v", spread_on="v").collect()] == [None, None]
+    assert [r.z for r in tr.zscore(df, ["k"], "v").collect()] == [None, None]
 
 
 def covariance(data, name):
@@ -141,3 +141,12 @@ def test_long_series_in_chunks(spark, size, pad):
         got.setdefault(r.k, []).append(r.filtered)
     for k, x in series.items():
         np.testing.assert_allclose(got[k], forward_backward([x], b, a, pad)[0], atol=1e-9)
+
+
+@pytest.mark.parametrize("limits", [JoinLimits(), SLICED])
+def test_null_keys_keep_their_rows(spark, limits):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, None, 5.0), (4, None, 9.0)], "id int, k string, v double")
+    assert rows(tr.zscore(df, ["k"], "v", limits=limits), "id", "z") == [(1, -1.0), (2, 1.0), (3, -1.0), (4, 1.0)]
+    two = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, None, [4.0, 6.0])], "trial int, c string, values array<double>")
+    got = rows(tr.centre_channels(two, ["trial"], "c", limits), "trial", "values")
+    assert got == [(1, [0.0, 0.0]), (2, [0.0, 0.0])]

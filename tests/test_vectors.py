@@ -78,7 +78,7 @@ def test_reweighted_and_keywords(spark, fixture):
     assert all(got[i][0] == float("W0," in t or "w0" in t.split()) for i, t in texts.items())
 
 
-@pytest.mark.parametrize("limits", [JoinLimits(), JoinLimits(broadcast_rows=0, rows_per_slice=5, hot_keys=3)])
+@pytest.mark.parametrize("limits", [JoinLimits(), JoinLimits(broadcast_rows=0)])
 def test_encoding(spark, fixture, limits):
     texts, _, df, _ = fixture
     vocab = vocabulary.vocabulary_index(vectors.text_words(df, "text"))
