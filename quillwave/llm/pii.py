@@ -1,8 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Patterns find the certain spans (``base``) and further candidates: written-out
-addresses, telephone numbers without a plus, card-like numbers, long IP
-addresses. Labelers (pattern, check, gazetteer, context before, context after)
+addresses, telephone numbers without a plus, card-like numbers, cards beside
+other numbers, long IP addresses. Labelers (pattern, check, gazetteer, context before, context after)
 vote for, against or not at all on every candidate. Expectation-maximisation
 estimates how reliable each labeler is for each kind from the counts of vote
 patterns (at most 4 * 3^5, so the driver gets a table of bounded size), and a
@@ -35,6 +35,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 _EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])[0-9](?:[ -]?+[0-9]){12,}+"
+_GROUPED_CARD = r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _AT, _DOT = r"(?:\[at\]|\(at\)|\{at\})", r"(?:\.|\[dot\]|\(dot\)|\{dot\})"
 _SPELLED = rf"(?i)(?<!{_LOCAL}){_LOCAL}++ ?{_AT} ?[a-z0-9-]++(?: ?{_DOT} ?[a-z0-9-]++)++"
@@ -124,6 +125,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     more = {
         "email": found(text, _SPELLED, text.rlike(r"(?i)[\[({]at[\])}]")),
         "ip": found(text, _LONG_IP, F.contains(text, F.lit(":")) & text.rlike(_LONG_IP)),
+        "card": found(text, _GROUPED_CARD, digit & text.rlike(_GROUPED_CARD)),
         "phone": found(text, _LOCAL_PHONE, digit & text.rlike(r"[0-9]{3}[ .-][0-9]{4}")),
     }
     docs = docs.withColumns({f"_all_{k}": v for k, v in matched.items()} | {f"_found_{k}": v for k, v in more.items()})
@@ -133,7 +135,8 @@ def _marked(docs: DataFrame) -> DataFrame:
     wide = {
         "email": F.col("_found_email"),
         "ip": F.concat(failed["ip"], "_found_ip"),
-        "card": failed["card"],
+        # A card beside another number is part of a longer match that fails.
+        "card": F.concat("_found_card", _clear_of(failed["card"], [F.col("_found_card")])),
         "phone": F.col("_found_phone"),
     }
     # Candidates of different kinds that overlap: the earlier kind has the span.
@@ -153,11 +156,11 @@ def _votes(kind: str, x: Column, is_base: bool) -> list[Column]:
         out = F.when(yes, 1)
         return (out.when(no, -1) if no is not None else out).otherwise(0)
 
-    pattern = F.lit(1) if is_base else {"card": F.lit(-1), "ip": vote(m.rlike(":"), ~m.rlike(":"))}.get(kind, F.lit(0))
+    pattern = F.lit(1) if is_base else {"card": vote(m.rlike(f"^{_GROUPED_CARD}$"), ~m.rlike(f"^{_GROUPED_CARD}$")), "ip": vote(m.rlike(":"), ~m.rlike(":"))}.get(kind, F.lit(0))
     check = {
         "email": vote(m.rlike(rf"(?i)[a-z0-9]{_LOCAL}*\W"), m.rlike(r"\.\.|^[.-]")),
         "ip": vote(m.rlike(":") | (_small_parts(m) & ~m.rlike("^(?:0|127)[.]")), ~m.rlike(":") & ~_small_parts(m)),
-        "card": vote(luhn(digits), ~luhn(digits)),
+        "card": vote(_holds("card", m), ~_holds("card", m)),
         "phone": vote((F.length(digits) >= 10) & (F.length(digits) <= 13), F.length(digits) < 7),
     }[kind]
     gazetteer = {
@@ -251,10 +254,10 @@ def _likely(bias: float, weights: list[dict[int, float]], limit: float) -> Calla
     return decide
 
 
-def spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Add ``base_<kind>`` and ``all_<kind>``: arrays of (s, e) in text order, for each kind."""
+def _spans(docs: DataFrame, threshold: float) -> DataFrame:
+    """(_row, base_<kind>, all_<kind>): whole rows as structs, so that no column of ``docs`` clashes, and their spans."""
     models = fit(docs)
-    marked = _marked(docs.withColumn("_text", F.coalesce("text", F.lit(""))))
+    marked = _marked(docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("_text")))
     limit = math.log(threshold / (1 - threshold))
 
     def narrow(column: Column) -> Column:
@@ -271,6 +274,20 @@ def spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     return marked.drop("_text", *[f"_{part}_{k}" for k in KINDS for part in ("base", "more")])
 
 
+def _of_row(name: str) -> Column:
+    return F.col("_row").getField(name).alias(name)
+
+
+def spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """Add ``base_<kind>`` and ``all_<kind>``: arrays of (s, e) in text order, for each kind.
+
+    Columns of ``docs`` that have these names are replaced.
+    """
+    made = [f"{part}_{k}" for k in KINDS for part in ("base", "all")]
+    kept = [_of_row(c) for c in docs.columns if c.lower() not in made]
+    return _spans(docs, threshold).select(*kept, *made)
+
+
 def _listed(part: str) -> Column:
     def name(kind: str) -> Column:
         return F.transform(f"{part}_{kind}", lambda x: F.concat_ws(":", F.lit(kind), x["s"], x["e"]))
@@ -289,9 +306,9 @@ def digests(marked: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """The rows of ``docs`` with each span replaced by its kind in angle brackets."""
-    marked = spans(docs)
+    text = F.col("_row").getField("text")
 
     def tagged(kind: str) -> Column:
         return F.transform(f"all_{kind}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"<{kind.upper()}>").alias("tag")))
@@ -299,13 +316,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(held: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), held["at"] + 1, x["s"] - held["at"])
+        gap = F.substring(text, held["at"] + 1, x["s"] - held["at"])
         out = F.when(x["s"] >= held["at"], F.concat(held["out"], F.array(gap, x["tag"]))).otherwise(held["out"])
         return F.struct(F.greatest(held["at"], x["e"]).alias("at"), out.alias("out"))
 
     def finish(held: Column) -> Column:
-        return F.concat(F.array_join(held["out"], ""), F.substring(F.col("text"), held["at"] + 1, F.length("text")))
+        return F.concat(F.array_join(held["out"], ""), F.substring(text, held["at"] + 1, F.length(text)))
 
     every = F.array_sort(F.concat(*[tagged(k) for k in KINDS]))
-    text = F.when(F.size(every) > 0, F.aggregate(every, start, step, finish)).otherwise(F.col("text"))
-    return marked.withColumn("text", text).select(*docs.columns)
+    cut = F.when(F.size(every) > 0, F.aggregate(every, start, step, finish)).otherwise(text)
+    return _spans(docs, threshold).select(*[cut.alias(c) if c == "text" else _of_row(c) for c in docs.columns])
