@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillwave.llm.common import arrow_schema, on_batches, slices, written
 from quillwave.llm.tokenfile import coder_of
 
-_SLICE = 24_000_000
+_SLICE = 12_000_000
 _BIN_BITS = 24
 
 

@@ -41,6 +41,8 @@ _MAGIC = b"QWIDS01\n"
 _HEAD, _HEAD_SIZE = "<IIHH", struct.calcsize("<IIHH")
 _FOOT, _FOOT_SIZE = "<QQQ8s", struct.calcsize("<QQQ8s")
 _SLICE = 24_000_000
+# Characters that the tokenizer gets at once; its own results are large.
+_RUN = 200_000
 # A blank starts a new piece of a byte-level vocabulary only before a visible
 # character. Texts with other blanks, or special tokens, are encoded whole.
 _ODD = (
@@ -64,6 +66,16 @@ def _cut(piece: str) -> list[str]:
     return [f" {piece}"]
 
 
+def _runs(texts: list[str]) -> Iterator[list[str]]:
+    begin = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= _RUN:
+            yield texts[begin : i + 1]
+            begin, held = i + 1, 0
+    yield texts[begin:]
+
+
 class ByteCoder:
     """Ids of whole texts; each distinct piece of a batch goes through the tokenizer once."""
 
@@ -79,9 +91,12 @@ class ByteCoder:
         self.odd = "|".join([_ODD, *map(re.escape, self.special)])
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, coded), np.int64, len(coded))
-        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(counts.sum())), counts
+        flat, counts = [], []
+        for run in _runs(texts):
+            coded = [e.ids for e in self.library.encode_batch_fast(run, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end`` after each, and where each text's ids begin (with the end)."""
