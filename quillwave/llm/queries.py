@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwave.llm import archive, bpe, neardup, packing, pii, quality, scoring, tokenfile, topk, webtext
+from quillwave.llm import archive, bpe, chat, neardup, packing, pii, quality, scoring, spelling, sql, tokenfile, topk, trie, webtext
 from quillwave.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_incremental_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # A conversation whose texts are control strings themselves.
+    hostile = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(held.unionByName(extra))
+
+
+def op12_partenum_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_bitmap_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +83,9 @@ QUERIES = {
         op8_zipped_web_archives,
         op9_weak_supervision_pii,
         op10_best_fit_packing,
+        op11_incremental_chat,
+        op12_partenum_spelling,
+        op13_bitmap_prefix_trie,
     )
 }
 
@@ -92,4 +111,7 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
         FROM f""",
+    "op11_incremental_chat": sql.OP11,
+    "op12_partenum_spelling": sql.OP12,
+    "op13_bitmap_prefix_trie": sql.OP13,
 }
