@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwave.functions.vectors import cross_entropy
+from quillwave.functions.vectors import argmax, cross_entropy
 from quillwave.operators.sequences import minimum_before
 
 
@@ -21,6 +21,19 @@ def mean_cross_entropy(df: DataFrame, scores_col: str, label_col: str) -> DataFr
     return df.agg(F.avg(loss).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
+def evaluate_parts(df: DataFrame, part_col: str, scores_col: str, label_col: str) -> DataFrame:
+    """``(part, n, loss, accuracy)``: loss and accuracy of raw scores per part, in one pass.
+
+    Rows without scores or a label take no part.
+    """
+    used = df.where(F.col(scores_col).isNotNull() & F.col(label_col).isNotNull())
+    loss = cross_entropy(F.col(scores_col), F.col(label_col))
+    right = (argmax(F.col(scores_col)) == F.col(label_col)).cast("double")
+    return used.groupBy(part_col).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss"), F.avg(right).alias("accuracy")
+    )
+
+
 def epoch_log(batches: DataFrame, keys: list[str]) -> DataFrame:
     """Totals per epoch of a log with ``batch_loss, batch_rows, batch_correct``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwave.operators.joint_patterns import joint_patterns
 from quillwave.operators.sequences import first_of_runs, label_samples, mark_runs
 from quillwave.operators.trials import (
     exclude_keys,
@@ -54,12 +55,14 @@ def segment(
 
 
 def csp_features(trials: DataFrame, keys: list[str], class_col: str, classes: tuple, num: int) -> DataFrame:
-    """Learn patterns on two classes and describe each of their trials.
+    """Learn patterns on two or more classes and describe each of their trials.
 
-    ``keys`` name a trial; result ``(keys, class, features)``.
+    ``keys`` name a trial; result ``(keys, class, features)``. Two classes get
+    ``num`` features from either end, more classes ``num`` features each.
     """
-    patterns = spatial_patterns(trials, keys, class_col, classes, num)
+    learn = spatial_patterns if len(classes) == 2 else joint_patterns
+    patterns = learn(trials, keys, class_col, classes, num)
     projected = trials.where(F.col(class_col).isin(*classes)).withColumn(
         "values", project(F.col("values"), patterns)
     )
-    return log_variance(projected, [*keys, class_col], 2 * num)
+    return log_variance(projected, [*keys, class_col], len(patterns))

@@ -229,7 +229,9 @@ ORACLES = {
         f"WITH {WORDS}, {RANKED}, {VECTORS}, {_mean()} SELECT doc_id, k, round(value, 6) AS value FROM mean"
     ),
     "unknown_words": (
-        f"WITH {WORDS}, {RANKED}, {VECTORS} SELECT c.word, c.n FROM counts c ANTI JOIN vectors v USING (word)"
+        # Vector i belongs to the word of rank i + 1, so the words past the last vector have none.
+        f"WITH {WORDS} SELECT word, count(*) AS n FROM words GROUP BY word "
+        "QUALIFY row_number() OVER (ORDER BY count(*) DESC, word) > (SELECT count(*) FROM embeddings)"
     ),
     "word_class_counts": (
         f"WITH {LABELLED} SELECT word, label, count(*) AS n FROM ({_words('labelled', 'doc_id, label')}) GROUP BY ALL"
