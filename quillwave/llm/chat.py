@@ -28,6 +28,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,14 +65,21 @@ class Template:
                 if (a != b and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
                     raise ValueError(f"control strings must not overlap: {a!r}, {b!r}")
 
-    def _pattern(self, slashes: str) -> re.Pattern:
-        return re.compile("|".join(f"(?<={re.escape(c[0])}){slashes}(?={re.escape(c[1:])})" for c in self.controls))
+    @cached_property
+    def _patterns(self) -> tuple[str, re.Pattern, re.Pattern]:
+        """First characters of control strings; what to escape and what to undo behind them."""
+
+        def behind(slashes: str) -> re.Pattern:
+            return re.compile("|".join(f"(?<={re.escape(c[0])}){slashes}(?={re.escape(c[1:])})" for c in self.controls))
+
+        return "".join({c[0] for c in self.controls}), behind(r"\\*+"), behind(r"\\++")
 
     def escape(self, text: str) -> str:
-        return self._pattern(r"\\*+").sub(lambda m: "\\" + m.group(), text)
+        firsts, found, _ = self._patterns
+        return found.sub(lambda m: "\\" + m.group(), text) if any(c in text for c in firsts) else text
 
     def unescape(self, text: str) -> str:
-        return self._pattern(r"\\++").sub(lambda m: m.group()[1:], text)
+        return self._patterns[2].sub(lambda m: m.group()[1:], text) if "\\" in text else text
 
 
 def instruction_marks(held: list[Turn]) -> str:
@@ -157,6 +165,8 @@ class Located:
         return before[start:], spans if rewrote is None else [], rewrote
 
 
+# Characters of output that a task gathers before it hands them on.
+_FLUSH = 2_000_000
 _STRUCTS = "array<struct<role:string,text:string>>"
 
 
@@ -188,12 +198,16 @@ _FORMATTED = (
 )
 
 
+def _batch(rows: list, arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+
 def formatted(cut: DataFrame, template: Template) -> DataFrame:
     """One row per piece: its text, the spans of its turns in it, and the turn at which history was rewritten (else null)."""
     arrow = arrow_schema(_FORMATTED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        locate = Located(template)
+        locate, out, size = Located(template), [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 context, held = ([(template.escape(t["role"]), template.escape(t["text"])) for t in row[c]] for c in ("context", "turns"))
@@ -204,9 +218,13 @@ def formatted(cut: DataFrame, template: Template) -> DataFrame:
                     {"begin": a, "text_begin": b, "text_end": c, "end": d, "loss": turn["role"] in template.learned and b >= 0}
                     for (a, b, c, d), turn in zip(spans, row["turns"])
                 ]
-                yield pa.RecordBatch.from_pylist(
-                    [{"conv_id": row["conv_id"], "piece": row["piece"], "formatted": text, "spans": marked, "rewrote_at": rewrote}], arrow
-                )
+                out.append((row["conv_id"], row["piece"], text, marked, rewrote))
+                size += len(text)
+                if size > _FLUSH:
+                    yield _batch(out, arrow)
+                    out, size = [], 0
+        if out:
+            yield _batch(out, arrow)
 
     return cut.mapInArrow(run, _FORMATTED)
 
@@ -230,13 +248,16 @@ def digests(output: DataFrame, template: Template) -> DataFrame:
     """
     arrow = arrow_schema(_DIGESTS)
 
+    def ended(running: list) -> list:
+        return [v.hexdigest() if hasattr(v, "hexdigest") else v for v in running]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, out = None, None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if held is None or row["conv_id"] != name or row["piece"] == 0:
                     if held:
-                        out.append(held)
+                        out.append(ended(held))
                     name, held = row["conv_id"], [row["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 held[5] += len(row["formatted"])
                 for role, text, loss in read_turns(row["formatted"], row["spans"], template):
@@ -249,16 +270,11 @@ def digests(output: DataFrame, template: Template) -> DataFrame:
                 yield _batch(out, arrow)
                 out = []
         if held:
-            yield _batch([held], arrow)
+            yield _batch([ended(held)], arrow)
 
     return output.mapInArrow(run, _DIGESTS)
 
 
-def _batch(rows: list[list], arrow: pa.Schema) -> pa.RecordBatch:
-    plain = [[v.hexdigest() if hasattr(v, "hexdigest") else v for v in row] for row in rows]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*plain), arrow)], schema=arrow)
-
-
 def format_conversations(conversations: DataFrame, template: Template = INSTRUCTION, most: int = 64) -> DataFrame:
     """All conversations: (conv_id, piece, formatted, spans, rewrote_at)."""
     whole, cut = pieces(conversations, most, template.lookback)
