@@ -194,10 +194,11 @@ class WordCoder:
         concatenation of its pieces between blanks and each distinct piece is
         coded once. Special tokens are made pieces of their own.
         """
-        if pc.any(pc.match_substring(texts, "<|")).as_py():
-            for token in self.special:
+        for token in self.special:
+            if pc.any(pc.match_substring(texts, token)).as_py():
                 texts = pc.replace_substring(texts, token, f" {token} ")
-        codes, bounds, parts = pieces_of(texts)
+        codes, bounds, distinct = pieces_of(texts)
+        parts = distinct.to_pylist()
         words: dict[bytes, int] = {}
         place = words.setdefault
         cut = [[] if p in self.special else [place(w, len(words)) for w in self.cut(p)] for p in parts]

@@ -50,20 +50,13 @@ _ODD = (
 )
 
 
-# Where characters are as in _PLAIN, letters and one mark after them are two
-# pieces of every byte-level vocabulary with the usual pattern.
-_PLAIN = re.compile("[\x00-\u024f]*").fullmatch
-
-
-def _cut(piece: str) -> list[str]:
-    """A piece cut further where that can't change its ids: after letters, around a line feed."""
-    left, mark, right = piece.partition(".\n")
-    if mark and left.isalpha() and right and (right.isalpha() or (right[:-1].isalpha() and right[-1] in ".,")) and _PLAIN(piece):
-        tail = [right] if right.isalpha() else [right[:-1], right[-1]]
-        return [f" {left}", ".", "\n", *tail]
-    if piece and piece[-1] in ".,!" and piece[:-1].isalpha() and _PLAIN(piece):
-        return [f" {piece[:-1]}", piece[-1]]
-    return [f" {piece}"]
+# Letters up to U+024F: runs of them, and one mark after them, are pieces of
+# their own in every byte-level vocabulary with the usual pattern.
+_LETTERS = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"
+_WORD, _MARKED = f"^{_LETTERS}$", f"^{_LETTERS}[.,!]$"
+# A sentence end, a line feed and the next word, with or without a mark.
+_DOTTED = rf"^(?P<left>{_LETTERS})\.\n(?P<right>{_LETTERS})(?P<mark>[.,]?)$"
+_MARKS = [".", ",", "!", "\n", ""]
 
 
 def _runs(texts: list[str]) -> Iterator[list[str]]:
@@ -76,8 +69,13 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
     yield texts[begin:]
 
 
+def _codes(texts: pa.Array, known: list[str]) -> np.ndarray:
+    """Positions in ``known``."""
+    return pc.index_in(texts, value_set=pa.array(known, pa.string())).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
 class ByteCoder:
-    """Ids of whole texts; each distinct piece of a batch goes through the tokenizer once."""
+    """Ids of whole texts; each distinct word of a slice goes through the tokenizer once."""
 
     def __init__(self, text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,41 +87,90 @@ class ByteCoder:
         spec = json.loads(text)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.odd = "|".join([_ODD, *map(re.escape, self.special)])
+        names = self.library.get_vocab()
+        # Ids whose bytes begin with a blank.
+        self.blank = np.zeros(max(names.values()) + 1, bool)
+        self.blank[[i for name, i in names.items() if name.startswith("\u0120")]] = True
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts encoded one by one, and their numbers."""
         flat, counts = [], []
         for run in _runs(texts):
             coded = [e.ids for e in self.library.encode_batch_fast(run, add_special_tokens=False)]
-            counts.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            counts.append(np.fromiter(map(len, coded), np.int32, len(coded)))
             flat.append(np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(counts[-1].sum())))
         return np.concatenate(flat), np.concatenate(counts)
 
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a blank before each, and their numbers.
+
+        Many words are one text for the tokenizer. The blank starts a new
+        piece, and no other id of a word begins with one.
+        """
+        flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for run in _runs(words):
+            if run:
+                (coded,) = self.library.encode_batch_fast([" " + " ".join(run)], add_special_tokens=False)
+                flat.append(np.array(coded.ids, np.uint32))
+                counts.append(np.diff(np.flatnonzero(self.blank[flat[-1]]), append=len(flat[-1])).astype(np.int32))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts between blanks, each with the blank before it, and their numbers.
+
+        Parts are cut where that can't change their ids: words, words with a
+        mark, and words around a sentence end and a line feed.
+        """
+        word, marked, dotted = (
+            pc.match_substring_regex(parts, p).to_numpy(zero_copy_only=False) for p in (_WORD, _MARKED, _DOTTED)
+        )
+        rest = parts.filter(pa.array(~(word | marked | dotted))).to_pylist()
+        with_mark = parts.filter(pa.array(marked))
+        around = pc.extract_regex(parts.filter(pa.array(dotted)), _DOTTED)
+        left, right, mark = (pc.struct_field(around, k) for k in range(3))
+        lefts = pa.concat_arrays([parts.filter(pa.array(word)), pc.utf8_slice_codeunits(with_mark, 0, -1), left]).dictionary_encode()
+        rights = right.dictionary_encode()
+        flat, sizes = self._word_ids(lefts.dictionary.to_pylist())
+        n_words = len(sizes)
+        more, more_sizes = self._ids([*_MARKS, *rights.dictionary.to_pylist(), *(f" {p}" for p in rest)])
+        flat, sizes = np.append(flat, more), np.append(sizes, more_sizes)
+        # Codes of the cuts of each part, in order.
+        held = np.ones(len(parts), np.int32)
+        held[marked], held[dotted] = 2, 5
+        start = np.cumsum(held, dtype=np.int64) - held
+        inner = np.zeros(int(held.sum()), np.int32)
+        begin, end = int(word.sum()), int(word.sum() + marked.sum())
+        codes = lefts.indices.to_numpy()
+        for kind, own in ((word, codes[:begin]), (marked, codes[begin:end]), (dotted, codes[end:])):
+            inner[start[kind]] = own
+        inner[start[marked] + 1] = n_words + _codes(pc.utf8_slice_codeunits(with_mark, -1, 2**31 - 1), _MARKS)
+        at = start[dotted]
+        inner[at + 1], inner[at + 2] = n_words, n_words + 3
+        inner[at + 3] = n_words + len(_MARKS) + rights.indices.to_numpy()
+        inner[at + 4] = n_words + _codes(mark, _MARKS)
+        inner[start[~(word | marked | dotted)]] = n_words + len(_MARKS) + len(rights.dictionary) + np.arange(len(rest))
+        counts = np.add.reduceat(sizes[inner], start) if len(parts) else np.zeros(0, np.int32)
+        return ragged(flat, np.cumsum(sizes, dtype=np.int64) - sizes, sizes, inner), counts
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end`` after each, and where each text's ids begin (with the end)."""
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         codes, bounds, parts = pieces_of(pc.if_else(pa.array(odd), "", texts))
-        codes = codes.astype(np.int64)
-        firsts = codes[bounds[:-1]]
-        leading, place = np.unique(firsts, return_inverse=True)
+        leading, place = np.unique(codes[bounds[:-1]], return_inverse=True)
         whole = texts.filter(pa.array(odd)).to_pylist()
-        smaller: dict[str, int] = {}
-        cut = [[smaller.setdefault(c, len(smaller)) for c in _cut(p)] for p in parts]
-        pieces, sizes = self._ids(list(smaller))
-        held = np.fromiter(map(len, cut), np.int64, len(cut))
-        inner = np.fromiter(itertools.chain.from_iterable(cut), np.int64, int(held.sum()))
-        of_parts = np.add.reduceat(sizes[inner], np.cumsum(held) - held)
-        flat, counts = self._ids([parts[i] for i in leading] + whole)
-        flat = np.append(ragged(pieces, np.cumsum(sizes) - sizes, sizes, inner), flat)
-        counts = np.append(of_parts, counts)
+        flat, counts = self._part_ids(parts)
+        # The first part of a text has no blank before it.
+        more, more_counts = self._ids(parts.take(pa.array(leading)).to_pylist() + whole)
+        flat, counts = np.append(flat, more), np.append(counts, more_counts)
         place = place + len(parts)
         place[odd] = len(parts) + len(leading) + np.arange(len(whole))
         codes[bounds[:-1]] = place
-        # One more code, the end id, after the pieces of each text.
-        flat, counts = np.append(flat, np.uint32(end)), np.append(counts, 1)
+        # One more code, the end id, after the parts of each text.
+        flat, counts = np.append(flat, np.uint32(end)), np.append(counts, np.int32(1))
         codes = np.insert(codes, bounds[1:], len(counts) - 1)
-        starts = np.cumsum(counts) - counts
+        starts = np.cumsum(counts, dtype=np.int64) - counts
         bounds = bounds + np.arange(len(bounds))
-        return ragged(flat, starts, counts, codes), np.append(0, np.cumsum(counts[codes]))[bounds]
+        return ragged(flat, starts, counts, codes), np.append(0, np.cumsum(counts[codes], dtype=np.int64))[bounds]
 
 
 def coder_of(docs: DataFrame, tokenizer: str):
