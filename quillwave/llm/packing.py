@@ -6,11 +6,15 @@ sequences of their own. The others are packed by best-fit decreasing inside
 partitions of bounded size. Dual feasible functions give each partition a lower
 bound on its number of sequences; a partition that meets it is certified.
 Partitions with a gap exchange the documents of all sequences that are not full
-and run again; a certified partition hands on only its emptiest sequence. Each
-round works on fewer pieces in fewer partitions, until one is left.
+and run again; a certified partition hands on only its emptiest sequence. The
+number of partitions follows the number of pieces that go on, so a partition
+never grows. The rounds end when one partition is left, when a round hands on
+nearly all that it got, or after ``max_rounds``; the last one settles all.
 
 Defined results: null text counts as empty and is one piece with the end id.
-Repeated rows are packed once each. No rows give no sequences.
+Null ids are ids like any other. Repeated rows are packed once each. Extra
+columns are not read. A text of any length is encoded whole. No rows give no
+sequences.
 """
 
 from __future__ import annotations
@@ -152,13 +156,14 @@ def _packer(columns: list[str], arrow: pa.Schema, capacity: int, number: int, fi
 
 
 def place(
-    items: DataFrame, capacity: int = 1024, per_group: int = 20_000, max_rounds: int = 8
+    items: DataFrame, capacity: int = 1024, per_group: int = 20_000, max_rounds: int = 8, least_gain: float = 0.1
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Add ``sequence_id`` and ``offset`` to rows that have ``length``.
 
     Also returns per round the certificates: (group_no, pieces, sequences, bound).
-    ``items`` must be a written table. The rounds end when one group is left,
-    or after ``max_rounds`` (every piece is placed either way).
+    ``items`` must be a written table. Every piece is placed, whatever ends the
+    rounds: one group left, less than ``least_gain`` of the pieces settled by
+    the round before, or ``max_rounds``.
     """
     columns = items.columns
     done = items.where(F.col("length") >= capacity).select(
@@ -168,16 +173,15 @@ def place(
     schema = left.schema
     result_schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, sequence_id bigint, offset bigint, _settled boolean, group_no bigint, sequences bigint, bound bigint"
     arrow = arrow_schema(result_schema)
-    groups = last = None
+    before = None
     for number in range(max_rounds):
         count = left.count()
         if not count:
             break
-        groups = max(1, -(-count // per_group))
-        if last is not None:
-            groups = min(groups, max(1, last // 4))
-        final = groups == 1 or number == max_rounds - 1
-        last = groups
+        groups = -(-count // per_group)
+        stuck = before is not None and count > (1 - least_gain) * before
+        final = groups == 1 or stuck or number == max_rounds - 1
+        before = count
 
         # Row numbers of a written table spread any ids evenly.
         spread = left.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)))
