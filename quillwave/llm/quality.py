@@ -9,7 +9,8 @@ Defined results: null text has no words and fails the word-count rule; so does
 an empty one. Repeated rows get equal results. Without usable labels (none, or
 one class only) the classifier keeps everything. Labels of unknown documents
 and null labels are not used; of several labels of one document the smallest
-counts.
+counts. Extra columns are not read. Texts of any length are scored whole, and
+used whole in the fit. A probability equal to the threshold is kept.
 """
 
 from __future__ import annotations
@@ -88,17 +89,18 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40))))
 
 
-def train(rows: list[tuple[str, int]], passes: int = 12, rate: float = 2.0, seed: int = 1) -> Classifier | None:
-    """Fit on four fifths of the rows, calibrate on the others.
+def train(
+    vectors: list[tuple[np.ndarray, np.ndarray]], known: list[int], passes: int = 12, rate: float = 2.0, seed: int = 1
+) -> Classifier | None:
+    """Fit on the vectors and labels of four fifths of the rows, calibrate on the others.
 
     Both classes weigh the same in the fit; calibration restores the true
     shares. Every row is used the same way whatever its length.
     """
-    labels = np.array([y for _, y in rows], np.float64)
+    labels = np.array(known, np.float64)
     if len(set(labels.tolist())) < 2:
         return None
-    vectors = [vector(text) for text, _ in rows]
-    order = np.random.default_rng(seed).permutation(len(rows))
+    order = np.random.default_rng(seed).permutation(len(vectors))
     held, fit = order[::5], np.setdiff1d(order, order[::5], assume_unique=True)
     if len(set(labels[fit].tolist())) < 2:
         held, fit = order, order
@@ -135,12 +137,11 @@ def _platt(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, rows: int, characters: int, label: str = "quality"
-) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts of at most ``characters`` characters, in hash order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, label: str = "quality") -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """Vectors and labels of at most ``rows`` labelled documents, whole texts of any length, in hash order.
 
-    Both bounds hold for training only; scoring reads every text whole.
+    The tasks make the vectors, so no text reaches the driver; a vector has
+    2^18 entries at most, whatever the length of its text.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -150,9 +151,18 @@ def labelled_sample(
     # Half of the sample for each class, so rare classes are in it.
     picked = known.where("_label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
     picked = picked.unionByName(known.where("_label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2))
-    texts = docs.where(F.length("text") <= characters).select("doc_id", "text")
-    got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).collect()
-    return [(r["text"], r["_label"]) for r in sorted(got, key=lambda r: r["doc_id"])]
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+    def run(batch: pa.RecordBatch) -> Iterator[list]:
+        made = [vector(text) for text in batch.column(1).to_pylist()]
+        yield [batch.column(0), batch.column(2), [a.astype(np.int32) for a, _ in made], [v.astype(np.float32) for _, v in made], batch.column(3)]
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, label int, at array<int>, value array<float>, digest string"
+    vectors = on_batches(texts.select("doc_id", "text", "_label", F.md5("text")), run, schema)
+    # Of rows that share an id the one with the smallest digest counts.
+    got = vectors.groupBy("doc_id").agg(F.min_by(F.struct("label", "at", "value"), "digest").alias("r")).collect()
+    got.sort(key=lambda r: r["doc_id"])
+    return [(np.array(r["r"]["at"], np.int64), np.array(r["r"]["value"], np.float64)) for r in got], [r["r"]["label"] for r in got]
 
 
 def _rules(text: str) -> tuple[int, int, int, int, int]:
@@ -194,17 +204,16 @@ def score(
     docs: DataFrame,
     labels: DataFrame,
     sample_rows: int = 4_000,
-    sample_characters: int = 20_000,
     least_words: int = 10,
     repeat_percent: int = 20,
     threshold: float = 0.4,
 ) -> DataFrame:
     """Rule counts, ``quality`` (calibrated probability), ``base_failed`` and ``kept`` of every document.
 
-    The classifier is fitted by the driver on at most ``sample_rows`` labelled
-    texts (80 MB at the very most) and sent to the tasks as 2^18 weights.
+    The classifier is fitted by the driver on the vectors of at most
+    ``sample_rows`` labelled documents and sent to the tasks as 2^18 weights.
     """
-    fitted = train(labelled_sample(docs, labels, sample_rows, sample_characters))
+    fitted = train(*labelled_sample(docs, labels, sample_rows))
     numbers = docs.sparkSession.sparkContext.broadcast(astuple(fitted) if fitted else None)
 
     def run(batch: pa.RecordBatch) -> Iterator[list]:
