@@ -1,31 +1,40 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its shingles of ``words`` words (A-Z lower-cased). Documents
-with equal sets are one class; its smallest id represents it. Each class has a
-vector of minwise tokens. Independent trees branch the classes: a node picks
-one or two coordinates of the vector (1 / similarity on average) and sends each
-class on by its token there. Nodes of at most ``limit`` classes are compared
-exhaustively; larger ones branch again. A node never lists its pairs while it
-is large; its members are only compared with its smallest member, which finds
-the link of nearly all members of a big group of near copies at once. Nodes
-that stay large down to ``depth`` are compared in random parts of ``limit``.
-Later comparisons skip pairs that are already connected.
-
-Two bits of each minwise token sort out pairs that are far apart. Every link is
-confirmed on the full sets of words, so there are no false links. A pair at the
-threshold shares a compared node of one tree with a chance of about 0.7; all of
-``trees`` = 8 trees miss it with less than 1e-3, and a group of near copies is
-held together by many links.
+A document is the set of its shingles of ``words`` words (A-Z lower-cased),
+each a 64-bit hash of its words. Documents with equal sets are one class; its
+smallest id represents it. Each class has a vector of minwise tokens.
+Independent trees branch the classes: a node picks one or two coordinates of
+the vector (1 / similarity on average) and sends each class on by its token
+there. Nodes of at most ``limit`` classes are compared exhaustively; larger
+ones branch again. A large node never lists its pairs; its members are only
+compared with its smallest member, which finds the link of nearly all members
+of a big group of near copies at once.
+
+One tree goes first and does only that. What it links is connected, so the
+trees after it list no comparison of two connected classes: a node counts as
+small if at most ``limit`` of its classes are outside of its largest connected
+part, and these meet all the others. Larger nodes branch on, for as many levels
+as leave nodes of ``limit`` classes of unlinked texts (each level shrinks such
+a node by the similarity at least). Nodes that are large even then are compared
+in blocks, every part with every other, so none of their pairs is lost.
+
+Two bits of each minwise token sort out pairs that are far apart. Every link
+is confirmed on the full sets, in groups of one class and some of the classes
+it is compared with. A pair at the threshold shares a compared node of one tree
+with a chance that falls with the levels (0.7 after few); ``trees`` = 8 trees
+miss it with less than 1e-3 there, and a group of near copies is held together
+by many links.
 
 Defined results: null or word-less text has an empty set and is linked with
 nothing. Rows that share an id are one document, linked if any of their texts
 is. A null id takes no part: its component is null and it is kept. No rows give
-no rows.
+no rows. Extra columns are not read. A text of any length is read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwave.llm.common import LOWER_ASCII, on_batches, written
+from quillwave.llm.common import LOWER_ASCII, arrow_schema, on_batches, written
 from quillwave.llm.quality import mixed, word_hashes
 
 _TOKENS = 64
@@ -55,13 +64,6 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.unique(gram)
 
 
-def shingles(text: str, words: int) -> set:
-    """The shingles themselves."""
-    held = text.encode().translate(LOWER_ASCII).split()
-    size = min(words, len(held))
-    return set(zip(*(held[k : len(held) - size + 1 + k] for k in range(size)))) if size else set()
-
-
 def minwise(hashes: np.ndarray) -> np.ndarray:
     """The minwise token of each coordinate (32 bits)."""
     least = np.full(_TOKENS, 2**32 - 1, np.uint64)
@@ -102,33 +104,41 @@ def _branch(rows: DataFrame, similarity: float) -> DataFrame:
     twice = F.pmod(F.shiftright(draw, 32), F.lit(1000)) < F.lit(int(1000 * (1 / similarity - 1)))
     taken = F.when(twice, F.array(first, other)).otherwise(F.array(first))
     return rows.withColumn("_at", F.explode(taken)).select(
-        F.xxhash64("node", "_at", F.element_at("tokens", F.col("_at") + 1)).alias("node"), "rep", "s1", "s2"
+        F.xxhash64("node", "_at", F.element_at("tokens", F.col("_at") + 1)).alias("node"), "rep", "s1", "s2", "known"
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, together: int = 64) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough.
 
-    def run(batch: pa.RecordBatch) -> Iterator[list]:
-        a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-        kept: list = [[], []]
-        known: tuple = (None, set())
-        for i in range(len(a)):
-            if known[0] != left[i]:
-                known = (left[i], shingles(left[i], words))
-            other = shingles(right[i], words)
-            both = len(known[1] & other)
-            if 100 * both >= percent * (len(known[1]) + len(other) - both):
-                kept[0].append(a[i])
-                kept[1].append(b[i])
-        yield kept
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    The texts b of one a are dealt over groups of about ``together``; each
+    group gets the text a once.
+    """
+    schema = "a bigint, b bigint"
+    arrow = arrow_schema(schema)
+
+    def run(group: pa.Table) -> pa.Table:
+        held: dict = {True: [], False: []}
+        for name, text, head in zip(*(group.column(c).to_pylist() for c in ("id", "text", "head"))):
+            held[head].append((name, shingle_hashes(text, words)))
+        out: tuple[list, list] = ([], [])
+        for a, left in held[True]:
+            for b, right in held[False]:
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                if 100 * both >= percent * (len(left) + len(right) - both):
+                    out[0].append(a)
+                    out[1].append(b)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+    pairs = written(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     used = written(texts.where("id IS NOT NULL AND text IS NOT NULL").join(wanted, "id", "left_semi"), "texts")
-    both = pairs.join(used.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").join(
-        used.select(F.col("id").alias("b"), F.col("text").alias("right")), "b"
-    )
-    return written(on_batches(both.select("a", "b", "left", "right"), run, "a bigint, b bigint").distinct(), "links")
+    counts = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("parts")), "parts")
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    members = dealt.join(used.withColumnRenamed("id", "b"), "b").select("a", "part", F.col("b").alias("id"), "text", F.lit(False).alias("head"))
+    heads = counts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    heads = heads.join(used.withColumnRenamed("id", "a"), "a").select("a", "part", F.col("a").alias("id"), "text", F.lit(True).alias("head"))
+    return written(members.unionByName(heads).groupBy("a", "part").applyInArrow(run, schema).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,10 +162,74 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _descended(reps: DataFrame, trees: range, similarity: float, limit: int, levels: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Branch (rep, tokens, s1, s2, known) by all ``trees``: pairs with hubs, small nodes, and what is large after all levels.
+
+    ``known`` names what is connected already, and ``most`` the largest such
+    part of a node. A node is small if at most ``limit`` members are outside
+    of it; nodes without such members are dropped.
+    """
+    roots = F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree")
+    rows = _branch(reps.select("*", roots).withColumn("node", F.xxhash64("tree", F.lit("root"))), similarity)
+    stars, leaves = [], []
+    for level in range(1, levels + 1):
+        rows = written(rows, "nodes")
+        parts = rows.groupBy("node", "known").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "s1", "s2", "known")).alias("hub"))
+        sizes = parts.groupBy("node").agg(
+            F.sum("n").alias("n"), F.max(F.struct("n", "known")).alias("_m"), F.min("hub").alias("hub")
+        )
+        sizes = sizes.select("node", "n", "hub", F.col("_m.known").alias("most"), (F.col("n") - F.col("_m.n")).alias("others"))
+        placed = written(rows.join(written(sizes.where("others > 0"), "sizes"), "node"), "placed")
+        leaves.append(placed.where(F.col("others") <= limit).select("node", "rep", "s1", "s2", "known", "most"))
+        large = placed.where(F.col("others") > limit)
+        if large.isEmpty():
+            return stars, leaves, None
+        near = _near(F.col("s1"), F.col("s2"), F.col("hub.s1"), F.col("hub.s2"))
+        stars.append(large.where((F.col("known") != F.col("hub.known")) & near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
+        if level < levels:
+            rows = _branch(large.select("node", "rep", "s1", "s2", "known").join(reps.select("rep", "tokens"), "rep"), similarity)
+    return stars, leaves, large
+
+
+def _leaf_pairs(leaves: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small nodes (node, rep, s1, s2, known, most, side) that aren't connected and not far apart.
+
+    Every member meets the few members outside of the largest connected part.
+    With ``side`` only members of different sides are paired, where a node has two.
+    """
+    member = F.struct("rep", "s1", "s2", "known", "side")
+    outside = leaves.groupBy("node").agg(
+        F.collect_list(F.when(~F.col("known").eqNullSafe(F.col("most")), member)).alias("m"), F.countDistinct("side").alias("sides")
+    )
+    both = leaves.join(written(outside, "outside"), "node")
+
+    def fits(y):
+        across = (F.col("sides") == 1) | (F.col("side") != y["side"])
+        once = F.col("known").eqNullSafe(F.col("most")) | (F.col("rep") < y["rep"])
+        return across & once & (y["known"] != F.col("known")) & _near(F.col("s1"), F.col("s2"), y["s1"], y["s2"])
+
+    found = both.select("rep", F.explode(F.transform(F.filter("m", fits), lambda y: y["rep"])).alias("other"))
+    return found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+
+
+def _blocks(large: DataFrame, limit: int) -> DataFrame:
+    """Large nodes (node, rep, s1, s2, known, n) as small ones: a node for every two of their parts."""
+    parts = F.ceil(2 * F.col("n") / limit)
+    own = F.pmod(F.xxhash64("rep", "node"), parts)
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+    dealt = large.withColumn("_own", own).withColumn("_other", other)
+    node = F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    none = F.lit(None).cast("bigint").alias("most")
+    return dealt.select(node.alias("node"), "rep", "s1", "s2", "known", none, F.col("_own").cast("int").alias("side"))
+
+
 def link(
-    docs: DataFrame, percent: int = 80, words: int = 2, trees: int = 8, depth: int = 6, limit: int = 16
+    docs: DataFrame, percent: int = 80, words: int = 2, trees: int = 8, limit: int = 16, levels: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures, class membership (doc_id, rep) of repeated sets, and confirmed links (a, b) between classes."""
+    """Signatures, class membership (doc_id, rep) of repeated sets, and confirmed links (a, b) between classes.
+
+    ``levels`` defaults to those that shrink all classes by ``percent`` a level to ``limit``.
+    """
     similarity = percent / 100
     sets = written(signatures(docs, words), "signatures")
     usable = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -166,57 +240,31 @@ def link(
     others = written(members, "members")
     reps = usable.join(others, usable["doc_id"] == others["doc_id"], "left_anti").dropDuplicates(["doc_id", "f1", "f2"])
     reps = written(reps.select(F.col("doc_id").alias("rep"), "tokens", "s1", "s2"), "reps")
-
-    roots = F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree")
-    rows = _branch(reps.select("*", roots).withColumn("node", F.xxhash64("tree", F.lit("root"))), similarity)
-    stars, leaves = [], []
-    for level in range(1, depth + 1):
-        rows = written(rows, "nodes")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "s1", "s2")).alias("hub"))
-        sizes = written(sizes.where("n > 1"), "sizes")
-        placed = written(rows.join(sizes, "node"), "placed")
-        leaves.append(placed.where(F.col("n") <= limit).select("node", "rep", "s1", "s2"))
-        large = placed.where(F.col("n") > limit)
-        near = _near(F.col("s1"), F.col("s2"), F.col("hub.s1"), F.col("hub.s2"))
-        stars.append(large.where((F.col("rep") != F.col("hub.rep")) & near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
-        if level == depth or large.isEmpty():
-            part = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / limit))
-            leaves.append(large.select(F.xxhash64("node", part).alias("node"), "rep", "s1", "s2"))
-            break
-        rows = _branch(large.select("node", "rep", "s1", "s2").join(reps.select("rep", "tokens"), "rep"), similarity)
+    if levels is None:
+        levels = max(6, math.ceil(math.log(max(reps.count() / limit, 1)) / -math.log(similarity)))
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     union = DataFrame.unionByName
-    first = _confirmed(reduce(union, stars).distinct(), texts, percent, words)
-    known = components(first)
-    leaf = reduce(union, leaves).join(known.withColumnRenamed("id", "rep"), "rep", "left")
-    leaf = leaf.withColumn("known", F.coalesce("component", "rep"))
-    member = F.collect_list(F.struct("rep", "s1", "s2", "known"))
-    grouped = leaf.groupBy("node").agg(member.alias("m")).where("size(m) > 1")
-    pairs = F.flatten(
-        F.transform(
-            "m",
-            lambda x: F.transform(
-                F.filter(
-                    "m",
-                    lambda y: (y["rep"] > x["rep"]) & (y["known"] != x["known"]) & _near(x["s1"], x["s2"], y["s1"], y["s2"]),
-                ),
-                lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")),
-            ),
-        )
-    )
-    found = grouped.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
-    second = _confirmed(found, texts, percent, words)
-    return sets, others, written(first.unionByName(second), "links")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, trees: int = 8, depth: int = 6, limit: int = 16) -> DataFrame:
+    stars, _, _ = _descended(reps.withColumn("known", F.col("rep")), range(1), similarity, limit, min(levels, 6))
+    nothing = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    first = _confirmed(reduce(union, stars, nothing), texts, percent, words)
+    known = written(components(first).toDF("rep", "known"), "known")
+    reps = written(reps.join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep")), "reps")
+    stars, leaves, large = _descended(reps, range(trees), similarity, limit, levels)
+    small = [leaf.withColumn("side", F.lit(0)) for leaf in leaves] + ([_blocks(large, limit)] if large is not None else [])
+    pairs = reduce(union, stars, _leaf_pairs(written(reduce(union, small), "leaves")))
+    second = _confirmed(pairs, texts, percent, words)
+    return sets, others, written(first.unionByName(second).distinct(), "links")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, trees: int = 8, limit: int = 16, levels: int | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, and its class's number of links."""
-    sets, members, links = link(docs, percent, words, trees, depth, limit)
+    sets, members, links = link(docs, percent, words, trees, limit, levels)
     named = components(
         links.unionByName(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     )
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     rows = sets.select("doc_id", "n_shingles").join(named.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     rows = rows.join(degree.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
