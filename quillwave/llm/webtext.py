@@ -3,17 +3,23 @@
 Every page becomes a tree of its block elements. Repeated siblings and repeated
 short sequences of siblings are folded, which leaves a small skeleton; equal
 skeletons of a host are counted, not kept. The distinct skeletons of a host are
-aligned one after another: where they differ, an element becomes optional or
-repeated, and text becomes a slot. The result is one regular expression without
-unions per host, its wrapper. A host's slots are then judged once, by where
-they are in the wrapper and by what they hold over all pages of the host: the
-article is kept; menus, headers, footers, sidebars, notices, adverts, forms and
-comments are not. Applying a wrapper to a page yields the text of its kept slots.
+aligned, some at a time and the results again: where they differ, an element
+becomes optional or repeated, and text becomes a slot. The result is one
+regular expression without unions per host, its wrapper, with numbered slots.
+
+Every page is then matched against the wrapper of its host, which puts each of
+its texts into a slot. A slot is judged by what the wrapper and the matches
+say: where it is, whether it repeats, how much text it holds, how much of that
+is links, and whether it is the same on all pages. Elements that HTML has for
+menus, footers, forms and the like count as what they are; a class name is one
+vote among several. The article is the element that HTML calls so, or else the
+one that holds most of the text that differs between pages.
 
 Defined results: null html is an empty page with empty text. Pages without a
-host in their url share one wrapper. Repeated rows get equal results. Character
-references are decoded; white space inside a block becomes one space; blocks
-are joined by a line feed.
+host in their url share one wrapper. Repeated rows get equal results. Extra
+columns are not read. Character references are decoded; white space inside a
+block becomes one space; blocks are joined by a line feed. Pages of any length
+are read whole; elements nested deeper than 150 count as siblings there.
 """
 
 from __future__ import annotations
@@ -21,9 +27,9 @@ from __future__ import annotations
 import html
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +42,8 @@ _BLOCKS = frozenset(
     "html body article main section div header footer nav aside form ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 blockquote pre "
     "figure figcaption table thead tbody tfoot tr td th caption fieldset details summary address dialog menu hr center".split()
 )
-_SILENT = "script|style|noscript|template|iframe|svg|select|textarea|button|object|head|title"
+_SILENT = "script|style|noscript|template|iframe|textarea|title"
+_CLOSED = "svg|select|button|object"
 _ASIDE_TAGS = frozenset("nav footer aside form dialog menu".split())
 _ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 _ASIDE_NAMES = frozenset(
@@ -49,12 +56,19 @@ _MAIN_NAMES = frozenset("article articlebody content post entry story main text
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _LISTS = frozenset("ul ol dl table menu".split())
 
-_GONE = re.compile(rf"<!--.*?(?:-->|$)|<({_SILENT})\b[^>]*(?:/>|>.*?(?:</\1\s*>|$))|<[!?][^>]*>", re.S | re.I)
+# Without an end tag the first kind goes on to the end of the page, the second kind is a tag like others.
+_GONE = re.compile(
+    rf"<!--.*?(?:-->|$)|<({_SILENT})(?![\w:-])[^>]*(?:/>|>.*?(?:</\1\s*>|$))|<({_CLOSED})(?![\w:-])[^>]*(?:/>|>.*?</\2\s*>)|<[!?][^>]*>",
+    re.S | re.I,
+)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMES = re.compile(r"\b(class|id|role|itemprop|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SLOT = "#"
 _GROUP = "()"
 _LONGEST_GROUP = 4
+_DEEPEST = 150
+# Elements whose content is text rather than further blocks.
+_TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
 
 
 @dataclass
@@ -67,6 +81,7 @@ class Node:
     repeated: bool = False
     text: list[str] = field(default_factory=list)
     linked: int = 0
+    clean: str | None = None
 
     def packed(self) -> list:
         return [self.label, self.optional + 2 * self.repeated, [c.packed() for c in self.children]]
@@ -139,6 +154,8 @@ def parse(page: str) -> Node:
                     close(open_[0])
             links, run = 0, None
             node = Node(_label(name, attributes))
+            if len(stack) == _DEEPEST:
+                stack.pop()
             stack[-1].children.append(node)
             stack.append(node)
         elif name == "hr":
@@ -148,16 +165,9 @@ def parse(page: str) -> Node:
 
 
 def text_of(run: Node) -> str:
-    return " ".join(html.unescape("".join(run.text)).split())
-
-
-def slots(node: Node, path: str = "") -> Iterator[tuple[str, Node]]:
-    """The text runs of a page with their paths, in page order."""
-    for child in node.children:
-        if child.label == _SLOT:
-            yield path, child
-        else:
-            yield from slots(child, path if child.label == _GROUP else f"{path}/{child.label}")
+    if run.clean is None:
+        run.clean = " ".join(html.unescape("".join(run.text)).split())
+    return run.clean
 
 
 def skeleton(node: Node) -> Node:
@@ -234,67 +244,208 @@ def expression(node: Node) -> str:
     return body + ("*" if node.optional and node.repeated else "+" if node.repeated else "?" if node.optional else "")
 
 
-def _is_aside(label: str) -> bool:
+@lru_cache(100_000)
+def plain(label: str) -> str:
+    """A label with only those names that say something."""
     tag, *names = label.split(".")
-    words = {w for n in names if n[0] != "@" for w in re.split(r"[-_]+", n)}
-    roles = {n[1:] for n in names if n[0] == "@"}
-    return tag in _ASIDE_TAGS or "!hidden" in names or bool(roles & _ASIDE_ROLES or words & _ASIDE_NAMES)
+    return ".".join([tag, *(n for n in names if n[0] in "@!" or set(re.split(r"[-_]+", n)) & (_ASIDE_NAMES | _MAIN_NAMES))])
 
 
-def _rank(label: str) -> int:
-    """How much a label says that it holds the main text."""
-    tag, *names = label.split(".")
-    words = {w for n in names for w in re.split(r"[-_@]+", n)}
-    return 3 if tag == "article" else 2 if tag == "main" or "@main" in names else 1 if words & _MAIN_NAMES else 0
+def size_of(node: Node) -> int:
+    return 1 + sum(map(size_of, node.children))
 
 
-def kept_paths(wrapper: Node, facts: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """The slots of a wrapper that hold main text.
+def _flat(node: Node) -> Iterator[Node]:
+    """A node, or the members of a group and of groups in it."""
+    if node.label != _GROUP:
+        yield node
+    else:
+        for child in node.children:
+            yield from _flat(child)
 
-    ``facts``: per path the pages, characters, linked characters, and whether
-    the text is the same on all pages.
-    """
-    paths: dict[str, list[str]] = {}
 
-    def walk(node: Node, path: str, labels: list[str]) -> None:
+class Pattern:
+    """A wrapper ready to match pages: for each element its parts in order, groups laid out flat."""
+
+    def __init__(self, wrapper: Node):
+        self.slots: list[list[Node]] = []
+        self.root = self._laid(wrapper, [])
+
+    def _laid(self, node: Node, above: list[Node]) -> tuple[dict[str, list[int]], list[tuple]]:
+        """Places of each label, and per place: what is below, whether it may come again, first place of its group, paths of texts."""
+        places: dict[str, list[int]] = {}
+        parts: list[tuple] = []
         for child in node.children:
+            first = len(parts) if child.label == _GROUP else None
+            for part in _flat(child):
+                places.setdefault(part.label, []).append(len(parts))
+                if part.label == _SLOT:
+                    parts.append((len(self.slots), True, first, {()}))
+                    self.slots.append(above)
+                else:
+                    parts.append((self._laid(part, [*above, part]), part.repeated, first, text_paths(part)))
+        return places, parts
+
+    def match(self, page: Node) -> Iterator[tuple[int, Node]]:
+        """The texts of a page with the numbers of their slots, in page order.
+
+        Children follow the parts in order: a part comes again if it repeats,
+        a group starts again where it repeats, optional parts are passed over.
+        Of several places for an element, the next one that has room for all
+        its texts is taken.
+        """
+        stack = [(iter(page.children), self.root, [0])]
+        while stack:
+            children, (places, parts), at = stack[-1]
+            child = next(children, None)
+            if child is None:
+                stack.pop()
+                continue
+            if child.label == _SLOT and not text_of(child):
+                continue
+            known = places.get(child.label) or places.get(plain(child.label))
+            if known is None:
+                continue
+            place = known[0]
+            if len(known) > 1:
+                wanted = text_paths(child)
+                order = self._order(known, parts, at[0])
+                place = next((k for k in order if wanted <= parts[k][3]), order[0])
+            at[0] = place + 1
             if child.label == _SLOT:
-                paths[path] = labels
-            elif child.label == _GROUP:
-                walk(child, path, labels)
+                yield parts[place][0], child
             else:
-                walk(child, f"{path}/{child.label}", [*labels, child.label])
-
-    walk(wrapper, "", [])
-
-    def aside(labels: list[str]) -> bool:
-        inside = next((i for i, x in enumerate(labels) if x.partition(".")[0] in ("article", "main")), len(labels))
-        # A header of the site; an article's own header has its headline.
-        return any(_is_aside(x) for x in labels) or any(x.partition(".")[0] == "header" for x in labels[:inside])
-
-    open_ = {p: labels for p, labels in paths.items() if not aside(labels)}
-    weight: dict[tuple[int, str], int] = {}
-    for path, labels in open_.items():
-        for depth, label in enumerate(labels):
-            if rank := _rank(label):
-                key = (rank, "/" + "/".join(labels[: depth + 1]))
-                weight[key] = weight.get(key, 0) + facts.get(path, (0, 0, 0, False))[1]
-    filled = {key: n for key, n in weight.items() if n}
-    if filled:
-        rank = max(r for r, _ in filled)
-        # Of the best kind the outermost element with the most text.
-        root = max((k for k in filled if k[0] == rank), key=lambda k: (filled[k], -len(k[1])))[1]
-    else:
-        rank, root = 0, ""
+                stack.append((iter(child.children), parts[place][0], [0]))
+
+    @staticmethod
+    def _order(known: list[int], parts: list[tuple], now: int) -> list[int]:
+        """The places of a label in the order in which they are tried."""
+        before, after = [k for k in known if k < now], [k for k in known if k >= now]
+        last = before[-1:]
+        if last and last[0] == now - 1 and parts[last[0]][1]:
+            return [*last, *after, *before[:-1]]
+        # Back to the start of the group that the part before is in.
+        loop = [k for k in before if now > 0 and parts[k][2] is not None and parts[k][2] == parts[now - 1][2]]
+        return [*loop, *after, *reversed([k for k in before if k not in loop])]
+
+
+def text_paths(node: Node) -> set[tuple]:
+    """Paths from a node to its texts, by the names that say something."""
+    if node.label == _SLOT:
+        return {()}
+    out: set[tuple] = set()
+    for child in node.children:
+        for part in _flat(child):
+            if part.label != _SLOT:
+                out.update((plain(part.label), *path) for path in text_paths(part))
+            elif part.clean != "" and (not part.text or text_of(part)):
+                out.add(())
+    return out
+
+
+@dataclass
+class Facts:
+    """Of one slot over all pages of a host."""
+
+    pages: int = 0
+    characters: int = 0
+    linked: int = 0
+    same: bool = False
+
+    @property
+    def own(self) -> int:
+        """Characters outside of links."""
+        return self.characters - self.linked
+
+
+def _names(label: str) -> tuple[str, set[str], set[str]]:
+    """Element, words of its names, roles."""
+    tag, *names = label.split(".")
+    return tag, {w for n in names if n[0] != "@" for w in re.split(r"[-_]+", n)}, {n[1:] for n in names if n[0] == "@"}
+
+
+def _is_aside(node: Node) -> bool:
+    """Whether HTML itself says that the element isn't main text."""
+    tag, words, roles = _names(node.label)
+    return tag in _ASIDE_TAGS or "!hidden" in words or bool(roles & _ASIDE_ROLES)
+
+
+def _rank(node: Node) -> int:
+    """How much an element says that it holds the main text."""
+    tag, words, roles = _names(node.label)
+    return 3 if tag == "article" else 2 if tag == "main" or "main" in roles else 1 if words & _MAIN_NAMES else 0
+
+
+def kept_slots(pattern: Pattern, facts: dict[int, Facts], few: int = 5, share: float = 0.6) -> list[int]:
+    """The slots that hold main text."""
+    none = Facts()
+    open_ = {}
+    for slot, above in enumerate(pattern.slots):
+        inside = next((i for i, n in enumerate(above) if n.label.partition(".")[0] in ("article", "main")), len(above))
+        # A header of the site goes; an article's own header has its headline.
+        site_header = any(n.label.partition(".")[0] == "header" for n in above[:inside])
+        if not site_header and not any(map(_is_aside, above)):
+            open_[slot] = above
+
+    def boilerplate(slot: int) -> bool:
+        return facts.get(slot, none).same and facts.get(slot, none).pages >= few
+
+    weight = {s: 0 if boilerplate(s) else facts.get(s, none).own for s in open_}
+    mass: dict[int, int] = {}
+    for slot, above in open_.items():
+        for node in above:
+            mass[id(node)] = mass.get(id(node), 0) + weight[slot]
+
+    def unwanted_name(above: list[Node]) -> bool:
+        return any(_names(n.label)[1] & _ASIDE_NAMES for n in above)
+
+    # The element that says it is the article and has most text, without those in asides by name.
+    # Elements in the same place that differ in names that say nothing are one.
+    alike: dict[tuple, set[int]] = {}
+    for slot, above in open_.items():
+        for depth, node in enumerate(above):
+            if _rank(node) and mass[id(node)] and not unwanted_name(above[: depth + 1]):
+                place = tuple(plain(n.label) for n in above[: depth + 1])
+                alike.setdefault((_rank(node), place), set()).add(id(node))
+    root: set[int] = set()
+    rank, total = 0, sum(weight.values())
+    if alike:
+        best = max(alike, key=lambda k: (k[0], sum(mass[n] for n in alike[k]), -len(k[1])))
+        # Names alone must not send away most of the text.
+        if best[0] > 1 or sum(mass[n] for n in alike[best]) >= (1 - share) * total:
+            rank, root = best[0], alike[best]
+    if not root:
+        # Else down from the page, as long as one element holds most of the text.
+        held, level = total, 0
+        while True:
+            inner = {}
+            for slot, above in open_.items():
+                if len(above) > level and (not root or id(above[level - 1]) in root):
+                    inner[id(above[level])] = above[level]
+            heavy = max(inner.values(), key=lambda n: mass[id(n)], default=None)
+            if heavy is None or heavy.label.partition(".")[0] in _TEXT_BLOCKS or heavy.repeated or mass[id(heavy)] < share * held or not held:
+                break
+            root, held, level = {id(heavy)}, mass[id(heavy)], level + 1
+    whole = sum(mass[n] for n in root) if root else total
     out = []
-    for path in open_:
-        if path != root and not path.startswith(f"{root}/"):
-            continue
-        pages, characters, linked, same = facts.get(path, (0, 0, 0, False))
-        if rank < 3 and ((pages >= 5 and same) or (characters and linked > 0.6 * characters)):
-            continue
-        out.append(path)
-    return sorted(out)
+    for slot, above in open_.items():
+        below = above
+        if root:
+            at = next((i for i, n in enumerate(above) if id(n) in root), None)
+            if at is None:
+                continue
+            below = above[at + 1 :]
+        held = facts.get(slot, none)
+        # The outermost element below the root with an unwanted name, or the slot's own.
+        named_node = next((n for n in below if _names(n.label)[1] & _ASIDE_NAMES), None)
+        part = mass[id(named_node)] if named_node else weight[slot]
+        short = part < 0.3 * whole or not whole
+        name = named_node is not None
+        votes = name + (held.linked > share * held.characters) + boilerplate(slot) + (short and (name or rank < 3))
+        votes += name and any(n.repeated for n in below)
+        if votes < 2:
+            out.append(slot)
+    return out
 
 
 def host_of(url: str = "url"):
@@ -302,79 +453,110 @@ def host_of(url: str = "url"):
     return F.coalesce(found, F.lit(""))
 
 
-def wrappers(pages: DataFrame, parts: int = 16) -> DataFrame:
-    """(host, wrapper, kept): a wrapper per host and the slots that it keeps, both as JSON."""
+def _packed(node: Node) -> str:
+    return json.dumps(node.packed(), separators=(",", ":"))
+
+
+def _unpacked(shape: str) -> Node:
+    return Node.unpacked(json.loads(shape))
+
+
+def aligned(shapes: list[str], most_nodes: int = 5_000) -> str:
+    """One expression for all shapes; names that say nothing are left out where they would make it grow with the host."""
+    trees = [_unpacked(s) for s in sorted(shapes, key=lambda s: (len(s), s))]
+    for attempt in range(2):
+        wrapper = trees[0]
+        for number, tree in enumerate(trees[1:]):
+            wrapper = merged(wrapper, tree)
+            if not attempt and number % 8 == 7 and size_of(wrapper) > most_nodes:
+                break
+        if attempt or size_of(wrapper) <= most_nodes:
+            break
+        trees = [simplified(t) for t in trees]
+    return _packed(wrapper)
+
+
+def simplified(node: Node) -> Node:
+    """A skeleton without the names that say nothing, folded again."""
+    return Node(plain(node.label), folded([simplified(c) for c in node.children]), node.optional, node.repeated)
+
+
+def wrappers(pages: DataFrame, together: int = 32) -> DataFrame:
+    """(host, wrapper): the expression of every host as JSON.
+
+    Distinct skeletons of a host are aligned ``together`` at a time, and the
+    results again, so no task aligns all of a large host.
+    """
 
     def structure(batch: pa.RecordBatch) -> Iterator[list]:
-        out: list = [batch.column(0), [], []]
-        for page in batch.column(1).to_pylist():
-            tree = parse(page or "")
-            facts: dict[str, list[int]] = {}
-            for path, run in slots(tree):
-                text = text_of(run)
-                if text:
-                    mark = zlib.crc32(text.encode())
-                    held = facts.setdefault(path, [0, 0, mark, mark])
-                    held[0] += len(text)
-                    held[1] += min(run.linked, len(text))
-                    held[2], held[3] = min(held[2], mark), max(held[3], mark)
-            out[1].append(json.dumps(skeleton(tree).packed(), separators=(",", ":")))
-            out[2].append([{"path": p, "chars": f[0], "linked": f[1], "low": f[2], "high": f[3]} for p, f in facts.items()])
-        yield out
+        yield [batch.column(0), [_packed(skeleton(parse(page or ""))) for page in batch.column(1).to_pylist()]]
 
     def align(group: pa.Table) -> pa.Table:
-        shapes = sorted(group.column("shape").to_pylist(), key=lambda s: (len(s), s))
-        wrapper = Node.unpacked(json.loads(shapes[0]))
-        for shape in shapes[1:]:
-            wrapper = merged(wrapper, Node.unpacked(json.loads(shape)))
-        packed = json.dumps(wrapper.packed(), separators=(",", ":"))
-        return pa.table([group.column("host")[:1], pa.array([packed])], names=["host", "shape"])
-
-    facts_type = "array<struct<path:string,chars:bigint,linked:bigint,low:bigint,high:bigint>>"
-    seen = on_batches(pages.select(host_of().alias("host"), "html"), structure, f"host string, shape string, facts {facts_type}")
-    seen = written(seen, "structures")
-    # Skeletons of a host are counted first, aligned in parts, and the parts aligned.
-    shapes = seen.groupBy("host", "shape").count()
-    part = F.pmod(F.xxhash64("shape"), F.lit(parts)).alias("part")
-    schema = "host string, shape string"
-    wrapped = shapes.groupBy("host", part).applyInArrow(align, schema).groupBy("host").applyInArrow(align, schema)
-    facts = (
-        seen.select("host", F.explode("facts").alias("f"))
-        .groupBy("host", "f.path")
-        .agg(
-            F.count(F.lit(1)).alias("pages"),
-            F.sum("f.chars").alias("chars"),
-            F.sum("f.linked").alias("linked"),
-            (F.min("f.low") == F.max("f.high")).alias("same"),
-        )
-        .groupBy("host")
-        .agg(F.collect_list(F.struct("path", "pages", "chars", "linked", "same")).alias("facts"))
+        return pa.table([group.column("host")[:1], pa.array([aligned(group.column("shape").to_pylist())])], names=["host", "shape"])
+
+    seen = on_batches(pages.select(host_of().alias("host"), "html"), structure, "host string, shape string")
+    shapes = written(seen.distinct(), "shapes")
+    while True:
+        counts = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / together).alias("parts"), F.count(F.lit(1)).alias("n"))
+        counts = written(counts, "counts")
+        if counts.where("n > 1").isEmpty():
+            return shapes.withColumnRenamed("shape", "wrapper")
+        part = F.pmod(F.xxhash64("shape"), F.col("parts")).alias("part")
+        dealt = shapes.join(counts, "host").select("host", part, "shape")
+        shapes = written(dealt.groupBy("host", "part").applyInArrow(align, "host string, shape string").distinct(), "shapes")
+
+
+def matched(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(page_id, url, host, blocks): the texts of each page in order, with the numbers of their slots."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[list]:
+        page_id, url, host, page, shape = batch.columns
+        patterns: dict[str, Pattern] = {}
+        blocks = []
+        for raw, wrapper in zip(page.to_pylist(), shape.to_pylist()):
+            if wrapper not in patterns:
+                patterns[wrapper] = Pattern(_unpacked(wrapper))
+            found = patterns[wrapper].match(parse(raw or ""))
+            blocks.append([{"slot": s, "linked": min(n.linked, len(text_of(n))), "text": text_of(n)} for s, n in found])
+        yield [page_id, url, host, blocks]
+
+    rows = pages.select("page_id", "url", host_of().alias("host"), "html").join(known, "host")
+    schema = f"page_id {dict(pages.dtypes)['page_id']}, url string, host string, blocks array<struct<slot:int,linked:int,text:string>>"
+    return written(on_batches(rows.select("page_id", "url", "host", "html", "wrapper"), run, schema), "matched")
+
+
+def judged(known: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(host, kept): the numbers of the slots that hold main text."""
+    # Numbered before the blocks of a page become rows.
+    pages = blocks.select("host", "blocks", F.monotonically_increasing_id().alias("page"))
+    each = pages.select("host", "page", F.explode("blocks").alias("b"))
+    mark = F.crc32(F.col("b.text").cast("binary"))
+    size = F.length("b.text").cast("bigint")
+    per_page = each.groupBy("host", "page", F.col("b.slot").alias("slot")).agg(
+        F.sum(size).alias("chars"), F.sum(F.col("b.linked").cast("bigint")).alias("linked"), F.min(mark).alias("low"), F.max(mark).alias("high")
+    )
+    facts = per_page.groupBy("host", "slot").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("low") == F.max("high")).alias("same")
     )
+    # One entry per slot of a wrapper, whose size is bounded.
+    listed = facts.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "chars", "linked", "same")).alias("facts"))
 
     def judge(batch: pa.RecordBatch) -> Iterator[list]:
         kept = []
-        for shape, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            facts = {f["path"]: (f["pages"], f["chars"], f["linked"], f["same"]) for f in known or []}
-            kept.append(json.dumps(kept_paths(Node.unpacked(json.loads(shape)), facts)))
-        yield [batch.column(0), batch.column(1), kept]
+        for shape, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            by_slot = {f["slot"]: Facts(f["pages"], f["chars"], f["linked"], f["same"]) for f in held or []}
+            kept.append(kept_slots(Pattern(_unpacked(shape)), by_slot))
+        yield [batch.column(0), kept]
 
-    joined = wrapped.join(facts, "host", "left").select("host", "shape", "facts")
-    return written(on_batches(joined, judge, "host string, wrapper string, kept string"), "wrappers")
+    joined = known.join(listed, "host", "left").select("host", "wrapper", "facts")
+    return written(on_batches(joined, judge, "host string, kept array<int>"), "judged")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    known = wrappers(pages).select("host", "kept")
-
-    def extract(batch: pa.RecordBatch) -> Iterator[list]:
-        page_id, url, page, kept = batch.columns
-        texts, sets = [], {}
-        for raw, paths in zip(page.to_pylist(), kept.to_pylist()):
-            if paths not in sets:
-                sets[paths] = frozenset(json.loads(paths))
-            blocks = (text_of(run) for path, run in slots(parse(raw or "")) if path in sets[paths])
-            texts.append("\n".join(b for b in blocks if b))
-        yield [page_id, url, texts, [len(t) for t in texts]]
-
-    rows = pages.select("page_id", "url", "html", host_of().alias("host")).join(known, "host").select("page_id", "url", "html", "kept")
-    return on_batches(rows, extract, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars bigint")
+    known = wrappers(pages)
+    blocks = matched(pages, known)
+    joined = blocks.join(judged(known, blocks), "host")
+    kept = F.filter("blocks", lambda b: F.array_contains("kept", b["slot"]))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

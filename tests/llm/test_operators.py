@@ -78,7 +78,11 @@ def test_wrapper():
     assert webtext.expression(wrapper) == (
         "<html><body><nav>#</> <article><h1>#</> <p>#</>+ <ul><li>#</></>?</> <div.comments>#</></></>"
     )
-    assert webtext.kept_paths(wrapper, {"/body/article/p": (2, 9, 0, False)}) == [f"/body/article/{x}" for x in ("h1", "p", "ul/li")]
+    pattern = webtext.Pattern(wrapper)
+    found = [(s, webtext.text_of(n)) for page in (a, b) for s, n in pattern.match(webtext.parse(page))]
+    assert found == [(0, "m"), (1, "t"), (2, "x"), (2, "y"), (4, "c"), (0, "m"), (1, "t"), (2, "z"), (3, "k"), (4, "c")]
+    facts = {k: webtext.Facts(2, 9, 0, False) for k in range(5)}
+    assert webtext.kept_slots(pattern, facts) == [1, 2, 3]
 
 
 def test_main_text(spark):
@@ -180,13 +184,20 @@ def test_quality(spark, docs, none):
 def test_classifier_on_held_out_rows():
     good = [(words(i, 60), 1) for i in range(200)]
     bad = [(" ".join(w + "###" for w in words(1000 + i, 60).split()), 0) for i in range(60)]
-    model = quality.train(good[:150] + bad[:40])
+    fit = good[:150] + bad[:40]
+    model = quality.train([quality.vector(t) for t, _ in fit], [y for _, y in fit])
     assert all((model.probability(t) >= 0.4) == bool(y) for t, y in good[150:] + bad[40:])
 
 
+def shingles(text, size):
+    held = text.encode().translate(neardup.LOWER_ASCII).split()
+    size = min(size, len(held))
+    return set(zip(*(held[k : len(held) - size + 1 + k] for k in range(size)))) if size else set()
+
+
 @pytest.mark.parametrize("limit", [3, 16])
 def test_near_duplicates(docs, none, limit):
-    sets = {i: neardup.shingles(t or "", 2) for i, t in enumerate(TEXTS)}
+    sets = {i: shingles(t or "", 2) for i, t in enumerate(TEXTS)}
     parent = {i: i for i in sets}
 
     def find(i):
@@ -324,7 +335,7 @@ def test_pipeline(spark, docs, none, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     failed = {r.doc_id for r in quality.score(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("NOT kept").collect()}
     left = [i for i in range(len(TEXTS)) if i not in failed]
-    sets, parent = {i: neardup.shingles(TEXTS[i], 5) for i in left}, {i: i for i in left}
+    sets, parent = {i: shingles(TEXTS[i], 5) for i in left}, {i: i for i in left}
     for a in left:
         for b in (b for b in left if b < a):
             both = len(sets[a] & sets[b])
