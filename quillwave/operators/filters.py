@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from quillwave.session import settle
 
 
+# Samples that one matrix product takes.
+BLOCK = 32
+
+
 class Recursion:
     """Difference equation with coefficients ``b`` over ``a``.
 
@@ -31,13 +35,50 @@ class Recursion:
         # Memory after an endless input of ones.
         self.steady = np.linalg.solve(np.eye(width - 1) - self.step, self.b[1:] - self.a[1:] * self.b[0])
         self.default_pad = 3 * width
+        self._blocks()
+
+    def _blocks(self) -> None:
+        """Matrices that take ``BLOCK`` samples at once.
+
+        Outputs are ``x @ inner + memory @ seen``; the memory after the block
+        is ``x @ kept + memory @ after``.
+        """
+        order = len(self.steady)
+        memories = [np.eye(order)]
+        for _ in range(BLOCK):
+            memories.append(self.step @ memories[-1])
+        self.seen = np.stack([m[0] for m in memories[:-1]], axis=1)
+        enters = self.b[1:] - self.a[1:] * self.b[0]
+        response = np.concatenate([[self.b[0]], [(m @ enters)[0] for m in memories[: BLOCK - 1]]])
+        self.inner = np.zeros((BLOCK, BLOCK))
+        for t in range(BLOCK):
+            self.inner[t, t:] = response[: BLOCK - t]
+        self.kept = np.stack([memories[BLOCK - 1 - t] @ enters for t in range(BLOCK)])
+        self.after = memories[BLOCK].T
 
     def run(self, rows: list[np.ndarray], memory: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Filter many rows together, one time step after the other.
+        """Filter many rows together: whole blocks by matrix products, then the rest sample by sample.
 
         Returns the filtered rows and the memory that each one leaves.
         """
-        lengths = np.array([len(row) for row in rows])
+        blocks = np.array([len(row) // BLOCK for row in rows], int)
+        state, out = np.array(memory, float).reshape(len(rows), len(self.steady)), [np.array(row, float) for row in rows]
+        most_first = np.argsort(-blocks, kind="stable")
+        for k in range(blocks.max(initial=0)):
+            own = most_first[: np.searchsorted(-blocks[most_first], -k)]
+            x = np.stack([out[i][k * BLOCK : (k + 1) * BLOCK] for i in own])
+            y = x @ self.inner + state[own] @ self.seen
+            state[own] = x @ self.kept + state[own] @ self.after
+            for i, done in zip(own, y):
+                out[i][k * BLOCK : (k + 1) * BLOCK] = done
+        rest, left = self._steps([row[n * BLOCK :] for row, n in zip(rows, blocks)], state)
+        for i, (n, done) in enumerate(zip(blocks, rest)):
+            out[i][n * BLOCK :] = done
+        return out, left
+
+    def _steps(self, rows: list[np.ndarray], memory: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """One time step after the other, all rows together."""
+        lengths = np.array([len(row) for row in rows], int)
         longest_first = np.argsort(-lengths, kind="stable")
         x = np.zeros((len(rows), lengths.max(initial=0)))
         for place, k in enumerate(longest_first):
@@ -61,6 +102,40 @@ class Recursion:
         return np.linalg.matrix_power(self.step, n) @ memory
 
 
+class Cascade:
+    """Second-order sections ``(b, a)`` one after another; the memory is that of all sections.
+
+    A filter of high order keeps its accuracy this way, which one pair of long
+    coefficient lists doesn't.
+    """
+
+    def __init__(self, sections: Sequence[tuple[Sequence[float], Sequence[float]]]):
+        self.sections = [Recursion(b, a) for b, a in sections]
+        self.widths = np.cumsum([0, *(len(s.steady) for s in self.sections)])
+        # Each section's steady input is what the ones before it make of ones.
+        gains = np.cumprod([1.0, *(s.b.sum() / s.a.sum() for s in self.sections)])
+        self.steady = np.concatenate([gain * s.steady for gain, s in zip(gains, self.sections)])
+        self.default_pad = sum(s.default_pad for s in self.sections)
+        # One sample of silence, from every unit memory.
+        _, left = self.run([np.zeros(1)] * len(self.steady), np.eye(len(self.steady)))
+        self.step = left.T
+
+    def run(self, rows: list[np.ndarray], memory: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        memory = np.asarray(memory, float).reshape(len(rows), len(self.steady))
+        left = np.empty_like(memory)
+        for section, begin, end in zip(self.sections, self.widths, self.widths[1:]):
+            rows, left[:, begin:end] = section.run(rows, memory[:, begin:end])
+        return rows, left
+
+    def skip(self, memory: np.ndarray, n: int) -> np.ndarray:
+        return np.linalg.matrix_power(self.step, n) @ memory
+
+
+def _rule(b, a) -> Recursion | Cascade:
+    """The filter of coefficients ``b`` over ``a``, or of a list of sections ``b`` where ``a`` is None."""
+    return Cascade(b) if a is None else Recursion(b, a)
+
+
 def _edges(head: np.ndarray, tail: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """``pad`` points before and after a series, mirrored through its end points."""
     return 2 * head[0] - head[1 : pad + 1][::-1], 2 * tail[-1] - tail[-pad - 1 : -1][::-1]
@@ -69,11 +144,11 @@ def _edges(head: np.ndarray, tail: np.ndarray, pad: int) -> tuple[np.ndarray, np
 def forward_backward(rows: list[np.ndarray], b, a, pad: int | None = None) -> list[np.ndarray]:
     """Filter each row forward and backward.
 
-    The ends are extended by ``pad`` mirrored points (3 * the number of
+    ``a`` is None where ``b`` is a list of second-order sections. The ends are extended by ``pad`` mirrored points (3 * the number of
     coefficients by default, at most length - 1), and both passes start in the
     steady state of their first point.
     """
-    rule = Recursion(b, a)
+    rule = _rule(b, a)
     pads = [max(0, min(rule.default_pad if pad is None else pad, len(row) - 1)) for row in rows]
     extended = []
     for row, p in zip(rows, pads):
@@ -86,7 +161,7 @@ def forward_backward(rows: list[np.ndarray], b, a, pad: int | None = None) -> li
     return [row[p : len(row) - p] for row, p in zip(extended, pads)]
 
 
-def zero_phase(series: Column, b: list[float], a: list[float], pad: int | None = None) -> Column:
+def zero_phase(series: Column, b: list, a: list[float] | None, pad: int | None = None) -> Column:
     """Filtered copy of an ``array<double>`` column, one series per row."""
 
     @F.pandas_udf("array<double>")
@@ -114,14 +189,16 @@ def filter_recordings(
     order_col: str,
     value_col: str,
     chunk: Column,
-    b: list[float],
-    a: list[float],
+    b: list,
+    a: list[float] | None,
     *,
     pad: int | None = None,
     out: str = "filtered",
 ) -> DataFrame:
     """Zero-phase filter of series of any length; adds nothing but ``out``.
 
+    ``a`` is None where ``b`` is a list of second-order sections.
+
     A series is cut into chunks (``chunk`` is a function of the order column).
     Because the memory of the filter is linear, each chunk is first filtered
     from an empty memory, the memory at every chunk border follows from one
@@ -129,7 +206,7 @@ def filter_recordings(
     start. This is done forward and backward, and gives the same numbers as
     one pass over the whole series.
     """
-    rule = Recursion(b, a)
+    rule = _rule(b, a)
     wanted_pad = rule.default_pad if pad is None else pad
     chunk_keys = [*keys, "_chunk"]
     placed = reduce(and_, (F.col(c).isNotNull() for c in [*keys, "_chunk"]))
