@@ -15,8 +15,9 @@ trees after it list no comparison of two connected classes: a node counts as
 small if at most ``limit`` of its classes are outside of its largest connected
 part, and these meet all the others. Larger nodes branch on, for as many levels
 as leave nodes of ``limit`` classes of unlinked texts (each level shrinks such
-a node by the similarity at least). Nodes that are large even then are compared
-in blocks, every part with every other, so none of their pairs is lost.
+a node by the similarity at least), or until blocks of them take no more rows
+than there are classes. Nodes that are large even then are compared in blocks:
+some of the classes outside with all others, so none of their pairs is lost.
 
 Two bits of each minwise token sort out pairs that are far apart. Every link
 is confirmed on the full sets, in groups of one class and some of the classes
@@ -162,12 +163,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _descended(reps: DataFrame, trees: range, similarity: float, limit: int, levels: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
-    """Branch (rep, tokens, s1, s2, known) by all ``trees``: pairs with hubs, small nodes, and what is large after all levels.
+def _descended(
+    reps: DataFrame, trees: range, similarity: float, limit: int, levels: int, enough: int
+) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Branch (rep, tokens, s1, s2, known) by all ``trees``: pairs with hubs, small nodes, and the large ones left.
 
     ``known`` names what is connected already, and ``most`` the largest such
     part of a node. A node is small if at most ``limit`` members are outside
-    of it; nodes without such members are dropped.
+    of it; nodes without such members are dropped. Branching ends when blocks
+    of all large nodes take ``enough`` rows or fewer, and after all ``levels``.
     """
     roots = F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree")
     rows = _branch(reps.select("*", roots).withColumn("node", F.xxhash64("tree", F.lit("root"))), similarity)
@@ -179,50 +183,48 @@ def _descended(reps: DataFrame, trees: range, similarity: float, limit: int, lev
             F.sum("n").alias("n"), F.max(F.struct("n", "known")).alias("_m"), F.min("hub").alias("hub")
         )
         sizes = sizes.select("node", "n", "hub", F.col("_m.known").alias("most"), (F.col("n") - F.col("_m.n")).alias("others"))
-        placed = written(rows.join(written(sizes.where("others > 0"), "sizes"), "node"), "placed")
-        leaves.append(placed.where(F.col("others") <= limit).select("node", "rep", "s1", "s2", "known", "most"))
+        sizes = written(sizes.where("others > 0"), "sizes")
+        placed = written(rows.join(sizes, "node"), "placed")
+        leaves.append(placed.where(F.col("others") <= limit).select("node", "rep", "s1", "s2", "known", "most", (F.col("known") != F.col("most")).alias("outside")))
         large = placed.where(F.col("others") > limit)
-        if large.isEmpty():
+        left = sizes.where(F.col("others") > limit).agg(F.sum(F.col("n") * F.ceil(F.col("others") / limit)).alias("rows")).first()["rows"]
+        if left is None:
             return stars, leaves, None
         near = _near(F.col("s1"), F.col("s2"), F.col("hub.s1"), F.col("hub.s2"))
         stars.append(large.where((F.col("known") != F.col("hub.known")) & near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
+        if left <= enough:
+            break
         if level < levels:
             rows = _branch(large.select("node", "rep", "s1", "s2", "known").join(reps.select("rep", "tokens"), "rep"), similarity)
     return stars, leaves, large
 
 
+def _blocks(large: DataFrame, limit: int) -> DataFrame:
+    """Large nodes as small ones: all members with one part of those outside of the largest connected part."""
+    parts = F.ceil(F.col("others") / limit)
+    dealt = large.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    own = F.pmod(F.xxhash64("rep", "node"), parts) == F.col("_part")
+    return dealt.select(
+        F.xxhash64("node", "_part").alias("node"), "rep", "s1", "s2", "known", "most", ((F.col("known") != F.col("most")) & own).alias("outside")
+    )
+
+
 def _leaf_pairs(leaves: DataFrame) -> DataFrame:
-    """Pairs (a, b) of small nodes (node, rep, s1, s2, known, most, side) that aren't connected and not far apart.
+    """Pairs (a, b) of small nodes (node, rep, s1, s2, known, most, outside) that aren't connected and not far apart.
 
-    Every member meets the few members outside of the largest connected part.
-    With ``side`` only members of different sides are paired, where a node has two.
+    Every member meets the few members that are ``outside``.
     """
-    member = F.struct("rep", "s1", "s2", "known", "side")
-    outside = leaves.groupBy("node").agg(
-        F.collect_list(F.when(~F.col("known").eqNullSafe(F.col("most")), member)).alias("m"), F.countDistinct("side").alias("sides")
-    )
-    both = leaves.join(written(outside, "outside"), "node")
+    few = leaves.groupBy("node").agg(F.collect_list(F.when(F.col("outside"), F.struct("rep", "s1", "s2", "known"))).alias("m"))
+    both = leaves.join(written(few, "few"), "node")
 
     def fits(y):
-        across = (F.col("sides") == 1) | (F.col("side") != y["side"])
-        once = F.col("known").eqNullSafe(F.col("most")) | (F.col("rep") < y["rep"])
-        return across & once & (y["known"] != F.col("known")) & _near(F.col("s1"), F.col("s2"), y["s1"], y["s2"])
+        once = (F.col("known") == F.col("most")) | (F.col("rep") < y["rep"])
+        return once & (y["known"] != F.col("known")) & _near(F.col("s1"), F.col("s2"), y["s1"], y["s2"])
 
     found = both.select("rep", F.explode(F.transform(F.filter("m", fits), lambda y: y["rep"])).alias("other"))
     return found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
 
 
-def _blocks(large: DataFrame, limit: int) -> DataFrame:
-    """Large nodes (node, rep, s1, s2, known, n) as small ones: a node for every two of their parts."""
-    parts = F.ceil(2 * F.col("n") / limit)
-    own = F.pmod(F.xxhash64("rep", "node"), parts)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
-    dealt = large.withColumn("_own", own).withColumn("_other", other)
-    node = F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    none = F.lit(None).cast("bigint").alias("most")
-    return dealt.select(node.alias("node"), "rep", "s1", "s2", "known", none, F.col("_own").cast("int").alias("side"))
-
-
 def link(
     docs: DataFrame, percent: int = 80, words: int = 2, trees: int = 8, limit: int = 16, levels: int | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -240,18 +242,19 @@ def link(
     others = written(members, "members")
     reps = usable.join(others, usable["doc_id"] == others["doc_id"], "left_anti").dropDuplicates(["doc_id", "f1", "f2"])
     reps = written(reps.select(F.col("doc_id").alias("rep"), "tokens", "s1", "s2"), "reps")
+    count = reps.count()
     if levels is None:
-        levels = max(6, math.ceil(math.log(max(reps.count() / limit, 1)) / -math.log(similarity)))
+        levels = max(6, math.ceil(math.log(max(count / limit, 1)) / -math.log(similarity)))
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     union = DataFrame.unionByName
-    stars, _, _ = _descended(reps.withColumn("known", F.col("rep")), range(1), similarity, limit, min(levels, 6))
+    stars, _, _ = _descended(reps.withColumn("known", F.col("rep")), range(1), similarity, limit, min(levels, 6), 0)
     nothing = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     first = _confirmed(reduce(union, stars, nothing), texts, percent, words)
     known = written(components(first).toDF("rep", "known"), "known")
     reps = written(reps.join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep")), "reps")
-    stars, leaves, large = _descended(reps, range(trees), similarity, limit, levels)
-    small = [leaf.withColumn("side", F.lit(0)) for leaf in leaves] + ([_blocks(large, limit)] if large is not None else [])
+    stars, leaves, large = _descended(reps, range(trees), similarity, limit, levels, count)
+    small = leaves + ([_blocks(large, limit)] if large is not None else [])
     pairs = reduce(union, stars, _leaf_pairs(written(reduce(union, small), "leaves")))
     second = _confirmed(pairs, texts, percent, words)
     return sets, others, written(first.unionByName(second).distinct(), "links")

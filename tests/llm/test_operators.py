@@ -350,3 +350,46 @@ def test_pipeline(spark, docs, none, tmp_path):
 def test_json_of_wrappers_round_trips():
     node = webtext.skeleton(webtext.parse("<body><p>a<p>b<table><tr><td>x</table></body>"))
     assert webtext.expression(webtext.Node.unpacked(json.loads(json.dumps(node.packed())))) == webtext.expression(node)
+
+
+def linked(spark, texts, **settings):
+    """Components by the operator and by comparing all pairs."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, **settings).collect()}
+    sets = [shingles(t, 2) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return got, {i: find(i) for i in range(len(texts))}
+
+
+def test_near_duplicates_of_one_template(spark):
+    """Texts of one template, alike but not linked, each with one near copy."""
+    shared = words(77, 160)
+    texts = []
+    for i in range(150):
+        own = f"{shared} {words(1000 + i, 40)}"
+        texts += [own, near(own, i, 2)]
+    got, want = linked(spark, texts)
+    # Nearly all pairs are linked; a missed link may only split a component.
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    assert all(want[c] == want[i] for i, c in got.items())
+
+
+@pytest.mark.parametrize("levels", [1])
+def test_near_duplicates_left_large_are_compared_in_blocks(spark, levels):
+    """After one level nearly everything is still together, so blocks have to find the links."""
+    shared = words(78, 150)
+    texts = [f"{shared} {words(2000 + i // 2, 30 + i % 2)}" for i in range(90)] + [near(shared, i, i % 5) for i in range(60)]
+    got, want = linked(spark, texts, limit=4, levels=levels)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
