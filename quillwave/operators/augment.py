@@ -80,11 +80,13 @@ def synonym_augment(
         )
         .groupBy(id_col, "copy")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "synonym"))).alias("_swaps"))
+        # All copies of a text in one row: the text itself is joined once, and copied last.
+        .groupBy(id_col)
+        .agg(F.map_from_entries(F.collect_list(F.struct("copy", "_swaps"))).alias("_by_copy"))
     )
-    every = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_weight"))))
-    text = F.when(F.col("_swaps").isNull(), F.col(text_col)).otherwise(
-        F.array_join(replace_tokens(split_single_space(F.col(text_col)), F.col("_swaps")), " ")
-    )
-    return every.join(swaps, [id_col, "copy"], "left").select(
-        id_col, "copy", text.alias(text_col), label_col
+    every = rows.join(swaps, id_col, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_weight"))))
+    own = F.try_element_at("_by_copy", F.col("copy"))
+    text = F.when(own.isNull(), F.col(text_col)).otherwise(
+        F.array_join(replace_tokens(split_single_space(F.col(text_col)), own), " ")
     )
+    return every.select(id_col, "copy", text.alias(text_col), label_col)

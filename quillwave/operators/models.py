@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 from pyspark.storagelevel import StorageLevel
 
+from quillwave.operators.kernel_svm import CosineFeatures
+
 
 def linear_svm(dim: int, n_classes: int, *, max_iter: int = 30, reg: float = 1e-3) -> Estimator:
     """One linear separator per class."""
@@ -75,16 +76,7 @@ def score(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
 def fourier_features(vector: Column, dim: int, n_features: int, gamma: float, seed: int = 42) -> Column:
     """Random cosine features whose inner products approach the kernel
     exp(-gamma * |x - y|^2) (Rahimi and Recht, 2007)."""
-
-    @F.pandas_udf("array<double>")
-    def run(batch: pd.Series) -> pd.Series:
-        draw = np.random.default_rng(seed)
-        weights = draw.normal(scale=np.sqrt(2 * gamma), size=(dim, n_features))
-        shift = draw.uniform(0, 2 * np.pi, size=n_features)
-        block = np.array(batch.tolist(), dtype=float).reshape(len(batch), dim)
-        return pd.Series(list(np.sqrt(2.0 / n_features) * np.cos(block @ weights + shift)))
-
-    return run(vector)
+    return CosineFeatures(dim, n_features, gamma, seed).of(vector)
 
 
 def batch_scores(

@@ -43,14 +43,13 @@ def encode_fixed_length(
 ) -> DataFrame:
     """``(id, input_ids, attention_mask)``, both of exactly ``length`` items.
 
-    Words beyond the length are cut before the lookup, so the list gathered
-    per text has at most ``length`` items.
+    Words beyond the length are cut before anything is exchanged, so a text
+    moves once with at most ``length`` words.
     """
     room = length - (begin_id is not None) - (end_id is not None)
     tokens = F.slice(split_clean(clean_text(F.col(text_col))), 1, room)
-    words = df.select(id_col, text_col).repartition(id_col).select(
-        id_col, F.posexplode_outer(tokens).alias("_pos", "word")
-    )
+    cut = df.select(id_col, F.array_join(tokens, " ").alias("_cut")).repartition(id_col)
+    words = cut.select(id_col, F.posexplode_outer(split_clean(F.col("_cut"))).alias("_pos", "word"))
     coded = attach_by_key(
         words,
         vocabulary.select("word", F.col("word_index").cast("int").alias("_id")),

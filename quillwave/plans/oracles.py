@@ -113,7 +113,7 @@ def _weight(label: str) -> str:
 
 
 EPOCHS = (
-    "batches AS (SELECT user_id, day(ts)::INTEGER AS epoch, "
+    "batches AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS epoch, "
     "CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'train' ELSE 'dev' END AS part, "
     "ln(1 + value) AS batch_loss, 2 AS batch_rows, event_id % 3 AS batch_correct FROM events), "
     "log AS (SELECT user_id, epoch, part, count(*) AS n_batches, sum(batch_rows)::BIGINT AS n_rows, "
@@ -284,7 +284,7 @@ ORACLES = {
         "SELECT vec_id, list_position(embedding, list_max(embedding))::INTEGER - 1 AS predicted FROM embeddings"
     ),
     "accuracy": (
-        "SELECT round(avg((list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label)::INTEGER), 6) AS accuracy, "
+        "SELECT round(avg((list_position(embedding, list_max(embedding)) - 1 = label)::INTEGER), 6) AS accuracy, "
         "count(*) AS n FROM embeddings"
     ),
     "cross_entropy": (

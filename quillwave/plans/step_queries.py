@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from quillwave.functions.text import run_stamp
 from quillwave.operators import labels, models, trials, vectors, vocabulary
+from quillwave.operators.ranking import global_rank
+from quillwave.operators.skew import attach_by_key
 from quillwave.plans import tweets
 from quillwave.plans.oracles import ENCODED, EXCLUDED_SUBJECTS, ID_SCORES, ORACLES, RANKED, WORDS
 from quillwave.plans.queries import (
@@ -24,7 +26,7 @@ from quillwave.plans.queries import (
     word_vectors,
 )
 from quillwave.session import scratch_path, settle
-from quillwave.sources import files
+from quillwave.sources import files, recordings
 from quillwave.streaming import batch_files, conflict_stream, lookup_stream
 
 SENTENCE = "The and of, que UN-known-word le der!"
@@ -59,6 +61,22 @@ def recording_scan(spark, sf_dir):
     return files.recording_name(scanned).select("path", rounded("t", "t"), F.get("values", F.lit(0)).alias("value"))
 
 
+def binary_recordings(spark, sf_dir):
+    """Events as binary recordings, one per user and one sample a second; other users' files are never opened."""
+    numbered = global_rank(events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), [F.col("user_id"), F.col("ts"), F.col("event_id")], "rank")
+    first = numbered.groupBy("user_id").agg(F.min("rank").alias("first"))
+    placed = attach_by_key(numbered, first, ["user_id"]).select(
+        F.col("user_id").cast("int").alias("subject"), (3 + F.col("user_id") % 12).cast("int").alias("run"),
+        (F.col("rank") - F.col("first")).alias("place"), F.array("value").alias("values"),
+    )
+    notes = spark.createDataFrame([], "subject int, run int, onset double, duration double, code string")
+    path = scratch_path(spark, "binary")
+    # Steps of 0.01, more than the range of the values.
+    recordings.write_recordings(placed, notes, path, 1, -327.68, 327.67)
+    scanned = recordings.scan(spark, path).where(F.col("run").isin(*RUNS))
+    return scanned.select("subject", "run", rounded("t", "t"), F.round(F.get("values", F.lit(0)), 2).alias("value"))
+
+
 def stamped_names(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.concat(F.lit("output/NN_"), run_stamp(F.col("ts"))).alias("name"))
 
@@ -123,6 +141,10 @@ STEP_ORACLES = {
         "round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6, 6) AS t, value FROM events "
         f"WHERE event_type = 'view' AND 3 + user_id % 12 IN {RUNS} AND user_id NOT IN ({', '.join(map(str, EXCLUDED_SUBJECTS))})"
     ),
+    "binary_recordings": (
+        "SELECT user_id::INTEGER AS subject, (3 + user_id % 12)::INTEGER AS run, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::DOUBLE AS t, "
+        f"least(value, 327.67::DOUBLE) AS value FROM events WHERE 3 + user_id % 12 IN {RUNS}"
+    ),
     "stamped_names": "SELECT event_id, 'output/NN_' || strftime(ts, '%Y-%m-%d_%H-%M-%S') AS name FROM events",
     "row_function": "SELECT doc_id, length(regexp_replace(text, '[aeiou ]', '', 'g')) AS n FROM documents",
     "single_sentence": (
@@ -134,7 +156,7 @@ STEP_ORACLES = {
 STEP_QUERIES = {
     f.__name__: f
     for f in (
-        set_label, strict_lookup, recording_scan, stamped_names, row_function, single_sentence,
+        set_label, strict_lookup, recording_scan, binary_recordings, stamped_names, row_function, single_sentence,
         stream_mean_vector, stream_label_conflicts,
     )
 }

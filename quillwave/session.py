@@ -27,9 +27,26 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_HANDED_OUT: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Remove all scratch tables of this driver, at the end of its work; returns how many there were.
+
+    Results that still read one of them must have been written elsewhere.
+    """
+    removed = 0
+    while _HANDED_OUT:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -66,3 +66,16 @@ def test_recordings_prune_runs_and_names(spark, folder):
 
 def test_single_text(spark):
     assert rows(files.single_text(spark, "One short text")) == [(0, "One short text")]
+
+
+def test_scratch_is_removed(spark):
+    from pathlib import Path
+
+    from quillwave import session
+
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    local = Path(path.removeprefix("file:"))
+    assert local.exists()
+    assert session.remove_scratch(spark) >= 1
+    assert not local.exists() and session.remove_scratch(spark) == 0
