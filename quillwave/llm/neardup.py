@@ -7,8 +7,9 @@ Independent trees branch the classes: a node picks one or two coordinates of
 the vector (1 / similarity on average) and sends each class on by its token
 there. Nodes of at most ``limit`` classes are compared exhaustively; larger
 ones branch again. A large node never lists its pairs; its members are only
-compared with its smallest member, which finds the link of nearly all members
-of a big group of near copies at once.
+compared with its middle, the member nearest to the majority of all in the bits
+below. That is the text that a big group of near copies comes from, whose
+copies may be linked by it alone.
 
 One tree goes first and does only that. What it links is connected, so the
 trees after it list no comparison of two connected classes: a node counts as
@@ -163,6 +164,29 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _middles(large: DataFrame, sample: int = 63) -> DataFrame:
+    """(node, hub): of each node (node, rep, s1, s2, known, n) the member that differs least from the majority of bits.
+
+    The majority is that of about ``sample`` members chosen by hash; it only
+    picks the hub, which all members are compared with.
+    """
+    few = large.where(F.pmod(F.xxhash64("rep", "node", "n"), F.ceil(F.col("n") / sample)) == 0)
+    listed = few.groupBy("node").agg(F.collect_list("s1").alias("_l1"), F.collect_list("s2").alias("_l2"))
+
+    def majority(held: str) -> Column:
+        def step(bits: Column, k: Column) -> Column:
+            ones = F.aggregate(held, F.lit(0).cast("bigint"), lambda n, x: n + F.call_function("shiftright", x, k).bitwiseAND(F.lit(1)))
+            one = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+            return bits.bitwiseOR(F.when(2 * ones > F.size(held), one).otherwise(F.lit(0).cast("bigint")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), step)
+
+    middle = written(listed.select("node", majority("_l1").alias("_m1"), majority("_l2").alias("_m2")), "middles")
+    far = F.bit_count(F.col("s1").bitwiseXOR(F.col("_m1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("_m2"))))
+    nearest = F.min(F.struct(far.alias("far"), "rep", "s1", "s2", "known")).alias("hub")
+    return written(large.join(middle, "node").groupBy("node").agg(nearest), "hubs")
+
+
 def _descended(
     reps: DataFrame, trees: range, similarity: float, limit: int, levels: int, enough: int
 ) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
@@ -178,11 +202,9 @@ def _descended(
     stars, leaves = [], []
     for level in range(1, levels + 1):
         rows = written(rows, "nodes")
-        parts = rows.groupBy("node", "known").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "s1", "s2", "known")).alias("hub"))
-        sizes = parts.groupBy("node").agg(
-            F.sum("n").alias("n"), F.max(F.struct("n", "known")).alias("_m"), F.min("hub").alias("hub")
-        )
-        sizes = sizes.select("node", "n", "hub", F.col("_m.known").alias("most"), (F.col("n") - F.col("_m.n")).alias("others"))
+        parts = rows.groupBy("node", "known").agg(F.count(F.lit(1)).alias("n"))
+        sizes = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "known")).alias("_m"))
+        sizes = sizes.select("node", "n", F.col("_m.known").alias("most"), (F.col("n") - F.col("_m.n")).alias("others"))
         sizes = written(sizes.where("others > 0"), "sizes")
         placed = written(rows.join(sizes, "node"), "placed")
         leaves.append(placed.where(F.col("others") <= limit).select("node", "rep", "s1", "s2", "known", "most", (F.col("known") != F.col("most")).alias("outside")))
@@ -191,7 +213,8 @@ def _descended(
         if left is None:
             return stars, leaves, None
         near = _near(F.col("s1"), F.col("s2"), F.col("hub.s1"), F.col("hub.s2"))
-        stars.append(large.where((F.col("known") != F.col("hub.known")) & near).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
+        around = large.join(_middles(large), "node").where((F.col("known") != F.col("hub.known")) & near)
+        stars.append(around.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
         if left <= enough:
             break
         if level < levels:
@@ -248,7 +271,7 @@ def link(
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     union = DataFrame.unionByName
-    stars, _, _ = _descended(reps.withColumn("known", F.col("rep")), range(1), similarity, limit, min(levels, 6), 0)
+    stars, _, _ = _descended(reps.withColumn("known", F.col("rep")), range(1), similarity, limit, min(levels, 4), 0)
     nothing = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     first = _confirmed(reduce(union, stars, nothing), texts, percent, words)
     known = written(components(first).toDF("rep", "known"), "known")
@@ -257,7 +280,8 @@ def link(
     small = leaves + ([_blocks(large, limit)] if large is not None else [])
     pairs = reduce(union, stars, _leaf_pairs(written(reduce(union, small), "leaves")))
     second = _confirmed(pairs, texts, percent, words)
-    return sets, others, written(first.unionByName(second).distinct(), "links")
+    both = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return sets, others, written(both.distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, trees: int = 8, limit: int = 16, levels: int | None = None) -> DataFrame:

@@ -393,3 +393,19 @@ def test_near_duplicates_left_large_are_compared_in_blocks(spark, levels):
     texts = [f"{shared} {words(2000 + i // 2, 30 + i % 2)}" for i in range(90)] + [near(shared, i, i % 5) for i in range(60)]
     got, want = linked(spark, texts, limit=4, levels=levels)
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def test_copies_that_only_their_origin_links(spark):
+    """Copies of one text, each changed in other places: not linked with each other, all with the text."""
+    draw = random.Random(5)
+    origin = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(220):
+        own = list(origin)
+        for at in draw.sample(range(2, 58), 3):
+            own[at] = f"x{i}y{at}"
+        texts.append(" ".join(own))
+    texts.insert(111, " ".join(origin))
+    got, want = linked(spark, texts)
+    assert set(want.values()) == {0}
+    assert sum(c == 0 for c in got.values()) >= 0.99 * len(texts)
