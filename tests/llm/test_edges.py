@@ -104,7 +104,8 @@ def test_long_labelled_text_teaches(spark):
 def test_slices_never_cut_a_text():
     texts = pa.array(["a" * 10, "b" * 500, "", "c" * 3, None, "d" * 90])
     cuts = list(slices(texts.fill_null(""), 50))
-    assert [i for r in cuts for i in r] == list(range(6)) and len(cuts) == 3
+    # A run ends with the text that fills it, however long that is.
+    assert cuts == [range(0, 2), range(2, 6)]
 
 
 def test_groups_of_packing_are_bounded(spark):
