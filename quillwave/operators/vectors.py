@@ -60,6 +60,21 @@ def _in_blocks(vectors: DataFrame, dim: int, block: int) -> DataFrame:
     return vectors.select("word", F.array(*parts).alias("_blocks"))
 
 
+def store_vectors(
+    vectors: DataFrame, table: str, dim: int, buckets: int, limits: VectorLimits = DEFAULT_VECTOR_LIMITS, path: str | None = None
+) -> None:
+    """Write ``(word, vector)`` as a table that is bucketed and sorted by word, at ``path`` or in the warehouse.
+
+    Lookups in it (:func:`mean_vectors_stored`) never move the vectors again.
+    Take as many buckets as a large lookup has partitions.
+    """
+    blocks = _in_blocks(vectors, dim, limits.block)
+    # One file per bucket: the rows of a bucket are in one partition.
+    laid = blocks.repartition(buckets, "word")
+    writer = laid.write.mode("overwrite").bucketBy(buckets, "word").sortBy("word")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def _block_sums(looked_up: DataFrame, id_col: str, block: int) -> DataFrame:
     """Sum the found vectors per (id, block); unknown words form a NULL block."""
     flat = looked_up.select(id_col, "word", "n", F.posexplode_outer("_blocks").alias("_block", "_part"))
@@ -87,8 +102,23 @@ def mean_vectors(
     occur in most texts are broadcast and the rare words go through a shuffle
     join, so no task ever gets all rows of a frequent word.
     """
+    return _mean(df, id_col, text_col, settle(_in_blocks(vectors, dim, limits.block)), dim, limits)
+
+
+def mean_vectors_stored(
+    df: DataFrame, id_col: str, text_col: str, table: str, dim: int, limits: VectorLimits = DEFAULT_VECTOR_LIMITS
+) -> DataFrame:
+    """:func:`mean_vectors` against a table of :func:`store_vectors` with the same block size.
+
+    Beyond the size of a broadcast, only the rare words of the texts are
+    exchanged; the stored side is read bucket by bucket.
+    """
+    return _mean(df, id_col, text_col, df.sparkSession.table(table), dim, limits)
+
+
+def _mean(df: DataFrame, id_col: str, text_col: str, blocks: DataFrame, dim: int, limits: VectorLimits) -> DataFrame:
+    """Mean vectors from a written table ``(word, _blocks)``."""
     bags = word_bags(df, id_col, text_col)
-    blocks = settle(_in_blocks(vectors, dim, limits.block))
     most = limits.words(dim)
     if fits(blocks, most):
         sums = _block_sums(bags.join(F.broadcast(blocks), "word", "left"), id_col, limits.block)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,6 +54,16 @@ def strict_lookup(spark, sf_dir):
     return mean.select("doc_id", "n_tokens", rounded(total, "total"))
 
 
+def stored_mean_vector(spark, sf_dir):
+    """Mean vectors from a bucketed table, with so small a broadcast that most words are looked up in it."""
+    name = f"vectors_{uuid.uuid4().hex}"
+    vectors.store_vectors(word_vectors(spark, sf_dir), name, DIM, 8, path=scratch_path(spark, "stored"))
+    few = vectors.VectorLimits(broadcast_bytes=50 * (4 * DIM + 64))
+    found = settle(vectors.mean_vectors_stored(documents(spark, sf_dir), "doc_id", "text", name, DIM, few))
+    spark.sql(f"DROP TABLE {name}")
+    return vectors.exploded(found, "doc_id").select("doc_id", "k", rounded("value", "value"))
+
+
 def recording_scan(spark, sf_dir):
     """Events as recordings on disk, one folder per subject and run; only three runs and no excluded subject are read."""
     samples, _ = _event_recordings(spark, sf_dir)
@@ -124,6 +136,7 @@ def stream_label_conflicts(spark, sf_dir):
 
 
 STEP_ORACLES = {
+    "stored_mean_vector": ORACLES["sentence_mean_vector"],
     "stream_mean_vector": ORACLES["sentence_mean_vector"],
     "stream_label_conflicts": ORACLES["label_conflicts"],
     "set_label": (
@@ -157,6 +170,6 @@ STEP_QUERIES = {
     f.__name__: f
     for f in (
         set_label, strict_lookup, recording_scan, binary_recordings, stamped_names, row_function, single_sentence,
-        stream_mean_vector, stream_label_conflicts,
+        stored_mean_vector, stream_mean_vector, stream_label_conflicts,
     )
 }

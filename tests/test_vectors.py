@@ -115,3 +115,26 @@ def test_array_functions(spark):
         assert r.loss == pytest.approx(np.log(np.exp(s - s.max()).sum()) + s.max() - s[r.y])
         assert r.same == r.s and r.twice == [2 * v for v in r.s] and r.zero == 0.0
         assert r.dot == pytest.approx(float(s @ [1, 2, 3]))
+
+
+@pytest.mark.parametrize("few", [None, 3])
+def test_stored_vectors_stay_where_they_are(spark, fixture, tmp_path, few):
+    texts, table, df, vec = fixture
+    limits = vectors.VectorLimits(broadcast_bytes=few * (4 * DIM + 64)) if few else vectors.VectorLimits()
+    vectors.store_vectors(vec, "stored_words", DIM, 3, limits, path=str(tmp_path / "words"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Spark would broadcast so small a table by itself.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = vectors.mean_vectors_stored(df, "id", "text", "stored_words", DIM, limits)
+        text = plan(found)
+        got = {r.id: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE stored_words")
+    for i, words in texts.items():
+        np.testing.assert_allclose(got[i].vector, expected_mean(words, table), atol=1e-9)
+    if few:
+        # Rare words go to the buckets; the stored side has no exchange.
+        assert "Bucketed: true" in text and "SortMergeJoin" in text
+        assert text.count("Exchange hashpartitioning(word") == 1
