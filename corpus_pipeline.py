@@ -1,7 +1,11 @@
 """Corpus pipeline: quality rules, near-duplicates, personal data, packing.
 
 Each stage takes what its predecessor kept. Null ids and texts are allowed in
-every stage; no rows give no rows.
+every stage: rows with a null id are judged by no one and stay, a null text is
+rejected by the quality rules if its row has an id. Rows that share an id are
+one document: if one of them is rejected, all go. Repeated rows stay repeated
+where the stage keeps them. Texts of any length are read whole. Extra columns
+are dropped. No rows give no rows.
 """
 
 from __future__ import annotations
