@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
@@ -239,18 +239,23 @@ def write_recordings(samples: DataFrame, notes: DataFrame, path: str, rate: int,
     second: ``rate`` samples of each channel and the annotations that begin in
     it. The last second is filled with zeros. Values are rounded to 65,536
     steps between ``low`` and ``high``. The seconds of a recording pass
-    through one task one by one, as a file has one writer. Returns (path,
-    subject, run, seconds).
+    through one task one by one, as a file has one writer. Rows without a
+    subject or run belong to no recording. Returns (path, subject, run, seconds).
     """
     second = F.floor(F.col("place") / rate)
-    moments = samples.groupBy("subject", "run", second.alias("second")).agg(
+    named = samples.where("subject IS NOT NULL AND run IS NOT NULL")
+    moments = named.groupBy("subject", "run", second.alias("second")).agg(
         F.sort_array(F.collect_list(F.struct("place", "values"))).alias("samples"), F.max(F.size("values")).alias("channels")
     )
     own = notes.groupBy("subject", "run", F.floor("onset").alias("second")).agg(F.sort_array(F.collect_list(F.struct("onset", "duration", "code"))).alias("notes"))
-    joined = settle(moments.join(own, ["subject", "run", "second"], "left"))
-    sizes = joined.groupBy("subject", "run").agg((F.max("second") + 1).alias("seconds"), F.max("channels").alias("width"))
-    ordered = joined.join(sizes, ["subject", "run"]).repartition("subject", "run").sortWithinPartitions("subject", "run", "second")
-    picked = ordered.select("subject", "run", "second", "samples", "notes", "seconds", "width")
+    joined = moments.join(own, ["subject", "run", "second"], "left")
+    # Windows keep a recording in one task. A join to its length would not:
+    # adaptive execution may broadcast that and read the rows where they lie.
+    whole = Window.partitionBy("subject", "run").orderBy("second").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = joined.select(
+        "subject", "run", "second", "samples", "notes", (F.max("second").over(whole) + 1).alias("seconds"), F.max("channels").over(whole).alias("width")
+    )
+    picked = sized.sortWithinPartitions("subject", "run", "second")
     schema = "path string, subject int, run int, seconds bigint"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

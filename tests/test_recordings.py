@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import plan, rows
 from quillwave.sources import recordings
 from quillwave.sources.recordings import Header, RecordingReader, notes_of
 
@@ -82,3 +82,17 @@ def test_too_many_annotations(spark, folder):
     notes = spark.createDataFrame([(1, 3, 0.5, 1.0, "x" * 300)], "subject int, run int, onset double, duration double, code string")
     with pytest.raises(Exception, match="more than 240"):
         recordings.write_recordings(samples, notes, folder, 4, -1.0, 1.0)
+
+
+def test_a_recording_stays_in_one_task(spark, folder, monkeypatch):
+    """A join to the lengths may be turned into a broadcast, and then a recording was left to several tasks."""
+    places = spark.range(0, 6000, 1, 6).selectExpr("CAST(id % 300 AS int) AS subject", "3 AS run", "id DIV 300 AS place", "array(CAST(id % 7 AS double)) AS values")
+    nobody = spark.sql("SELECT CAST(NULL AS int) AS subject, 3 AS run, 0L AS place, array(1D) AS values")
+    notes = spark.createDataFrame([], "subject int, run int, onset double, duration double, code string")
+    settled, settle = [], recordings.settle
+    monkeypatch.setattr(recordings, "settle", lambda df: settled.append(df) or settle(df))
+    done = recordings.write_recordings(places.union(nobody), notes, folder, 1, LOW, HIGH)
+    assert rows(done, "subject", "seconds") == sorted(((s, 20) for s in range(300)), key=lambda r: tuple((False, str(v)) for v in r))
+    assert recordings.scan(spark, folder).count() == 6000
+    above = plan(settled[-1]).split("MapInArrow")[1].split("Exchange")[0]
+    assert "Window" in above and "Join" not in above
