@@ -18,6 +18,15 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str) -> DataF
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A parquet table that is one file or a folder of files, as its files arrive."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    return read_stream(spark, at.getParent().toString(), schema, at.getName())
+
+
 def clean_stream(df: DataFrame, text_col: str, out: str = "clean_text") -> DataFrame:
     return df.withColumn(out, clean_text(strip_noise_tokens(F.col(text_col))))
 
