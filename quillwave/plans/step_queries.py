@@ -28,7 +28,7 @@ from quillwave.plans.queries import (
     word_vectors,
 )
 from quillwave.session import scratch_path, settle
-from quillwave.sources import files, recordings
+from quillwave.sources import files, recordings, sinks
 from quillwave.streaming import batch_files, conflict_stream, lookup_stream
 
 SENTENCE = "The and of, que UN-known-word le der!"
@@ -68,7 +68,7 @@ def recording_scan(spark, sf_dir):
     """Events as recordings on disk, one folder per subject and run; only three runs and no excluded subject are read."""
     samples, _ = _event_recordings(spark, sf_dir)
     path = scratch_path(spark, "recordings")
-    samples.select("t", F.lit("T0").alias("marker"), "values", "subject", "run").write.partitionBy("subject", "run").parquet(path)
+    sinks.write_recordings(samples.select("t", F.lit("T0").alias("marker"), "values", "subject", "run"), path)
     scanned = trials.exclude_keys(files.read_recordings(spark, path, RUNS), "subject")
     return files.recording_name(scanned).select("path", rounded("t", "t"), F.get("values", F.lit(0)).alias("value"))
 

@@ -38,6 +38,21 @@ def write_word_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select(line.alias("value")).write.text(path)
 
 
+def write_recordings(samples: DataFrame, path: str) -> None:
+    """One folder per subject and run, at a new ``path``.
+
+    The rows of a folder meet in one task, so it holds one file. The number of
+    tasks is a fixed one, as the time goes with the folders: by size, adaptive
+    execution would leave many small ones to one task. Tasks put their own
+    files in place: the driver would move those of many folders one by one.
+    Readers must wait for the end of the write.
+    """
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = samples.repartition(tasks, "subject", "run")
+    writer = laid.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy("subject", "run").parquet(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

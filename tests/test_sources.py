@@ -64,6 +64,14 @@ def test_recordings_prune_runs_and_names(spark, folder):
     assert "PartitionFilters: [run" in plan(read)
 
 
+def test_a_recording_is_one_file(spark, folder):
+    views = spark.range(0, 400, 1, 8).selectExpr("id / 10D AS t", "'T0' AS marker", "array(1D) AS values", "CAST(id % 20 AS int) AS subject", "3 AS run")
+    sinks.write_recordings(views, f"{folder}/r")
+    found = [f for _, _, names in os.walk(f"{folder}/r") for f in names if f.endswith(".parquet")]
+    assert len(found) == 20
+    assert files.read_recordings(spark, f"{folder}/r").count() == 400
+
+
 def test_single_text(spark):
     assert rows(files.single_text(spark, "One short text")) == [(0, "One short text")]
 
