@@ -137,3 +137,15 @@ def test_nearly_all_groups_meet_the_bound(spark):
     placed, _ = packing.place(items, 1024, per_group=600)
     assert placed.select("sequence_id").distinct().count() <= packing.lower_bound(sizes, 1024) + 1
     assert placed.agg(F.sum("length")).first()[0] == int(sizes.sum())
+
+
+def test_fit_vectors_are_views_of_columns(spark):
+    """4 bytes a number: the driver held Python lists of them and went beyond its memory."""
+    df = spark.createDataFrame([(i, f"text number {i} of a few") for i in range(60)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    vectors, known = quality.labelled_sample(df, labels, 100)
+    assert known == [i % 2 for i in range(60)]
+    assert {(at.dtype.str, value.dtype.str, at.base is not None) for at, value in vectors} == {("<i4", "<f4", True)}
+    for i, (at, value) in enumerate(vectors):
+        want = quality.vector(f"text number {i} of a few")
+        assert np.array_equal(at, want[0]) and np.allclose(value, want[1], atol=1e-6)
