@@ -138,3 +138,24 @@ def test_stored_vectors_stay_where_they_are(spark, fixture, tmp_path, few):
         # Rare words go to the buckets; the stored side has no exchange.
         assert "Bucketed: true" in text and "SortMergeJoin" in text
         assert text.count("Exchange hashpartitioning(word") == 1
+
+
+def test_encoding_by_frequent_and_rare_words(spark):
+    """Frequent words are looked up in place; null and shared ids and empty texts give what a broadcast gives."""
+    texts = [(i % 50 if i % 9 else None, " ".join(f"w{k * k % (i + 2)}" for k in range(i % 14)) or None) for i in range(120)]
+    df = spark.createDataFrame([*texts, (900, ""), (901, "nowhere w1")], "id long, text string").repartition(3)
+    vocab = spark.createDataFrame([(f"w{k}", k + 1) for k in range(0, 100, 2)], "word string, word_index long")
+    made = [vocabulary.encode_fixed_length(df, "id", "text", vocab, 10, unknown_id=777, limits=JoinLimits(n)) for n in (1000, 5)]
+    assert rows(made[1]) == rows(made[0])
+    assert made[1].count() == df.select("id").distinct().count()
+    assert "LeftAnti" in plan(made[1])
+
+
+def test_partitions_of_texts_grow_with_the_texts(spark, monkeypatch):
+    """What a task counts is bounded by the partition, not by the number of tasks."""
+    from quillwave.operators import skew
+
+    monkeypatch.setattr(skew, "PARTITION_CHARS", 1000)
+    for n in (1000, 5000):
+        df = spark.createDataFrame([(i, "some words of a text") for i in range(n)], "id long, text string")
+        assert vectors.word_bags(df, "id", "text").rdd.getNumPartitions() == n * 20 // 1000
