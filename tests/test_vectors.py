@@ -159,3 +159,25 @@ def test_partitions_of_texts_grow_with_the_texts(spark, monkeypatch):
     for n in (1000, 5000):
         df = spark.createDataFrame([(i, "some words of a text") for i in range(n)], "id long, text string")
         assert vectors.word_bags(df, "id", "text").rdd.getNumPartitions() == n * 20 // 1000
+
+
+def test_rare_words_meet_texts_in_groups(spark, monkeypatch):
+    """Null, shared and repeated keys, missing numbers and unknown words: the same as a broadcast gives."""
+    from quillwave.operators import skew
+
+    monkeypatch.setattr(skew, "PARTITION_CHARS", 100)
+    texts = [(i % 40 if i % 9 else None, " ".join(f"w{k * k % (i + 2)}" for k in range(i % 14)) or None) for i in range(90)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    numbers = [(f"w{k}", None if k == 4 else [float(k)] * 5 + [None if k % 3 else 2.5] * 2) for k in range(0, 60, 2)]
+    vec = spark.createDataFrame([*numbers, ("w6", [1.0] * 7)], "word string, vector array<float>")
+    few = vectors.VectorLimits(broadcast_bytes=2 * (4 * 7 + 64), block=4)
+    want = vectors.mean_vectors(df, "id", "text", vec, 7, vectors.VectorLimits(block=4))
+    got = vectors.mean_vectors(df, "id", "text", vec, 7, few)
+    assert "CoGroup" in plan(got) and "CoGroup" not in plan(want)
+    assert got.count() == want.count()
+    for a, b in zip(rows(got, "id", "n_tokens"), rows(want, "id", "n_tokens"), strict=True):
+        assert a == b
+    total = {r.id: list(r.vector) for r in want.collect()}
+    for r in got.collect():
+        assert [x is None for x in r.vector] == [x is None for x in total[r.id]]
+        assert [x for x in r.vector if x is not None] == pytest.approx([x for x in total[r.id] if x is not None])
