@@ -133,14 +133,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, tog
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
     pairs = written(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    used = written(texts.where("id IS NOT NULL AND text IS NOT NULL").join(wanted, "id", "left_semi"), "texts")
     counts = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / together).alias("parts")), "parts")
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    members = dealt.join(used.withColumnRenamed("id", "b"), "b").select("a", "part", F.col("b").alias("id"), "text", F.lit(False).alias("head"))
+    members = pairs.join(counts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("head"))
     heads = counts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    heads = heads.join(used.withColumnRenamed("id", "a"), "a").select("a", "part", F.col("a").alias("id"), "text", F.lit(True).alias("head"))
-    return written(members.unionByName(heads).groupBy("a", "part").applyInArrow(run, schema).distinct(), "links")
+    heads = heads.select(F.col("a").alias("id"), "a", "part", F.lit(True).alias("head"))
+    # The texts are read once, and not moved for it as long as what is wanted of them is small.
+    wanted = written(members.unionByName(heads), "wanted")
+    used = texts.where("id IS NOT NULL AND text IS NOT NULL").join(wanted, "id")
+    return written(used.groupBy("a", "part").applyInArrow(run, schema).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -409,3 +409,15 @@ def test_copies_that_only_their_origin_links(spark):
     got, want = linked(spark, texts)
     assert set(want.values()) == {0}
     assert sum(c == 0 for c in got.values()) >= 0.99 * len(texts)
+
+
+def test_links_are_confirmed_without_a_copy_of_the_texts(spark, monkeypatch):
+    """Texts go straight to the groups that compare them, with no table of them written in between."""
+    tables = {}
+    kept = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, label: tables.setdefault(label, df) and kept(df, label))
+    texts = [words(1, 60), near(words(1, 60), 5, 1), words(2, 60), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in neardup._confirmed(pairs, df, 80, 2).collect()] == [(0, 1)]
+    assert not [label for label, held in tables.items() if "text" in held.columns]
