@@ -6,26 +6,29 @@ smallest id represents it. Each class has a vector of minwise tokens.
 Independent trees branch the classes: a node picks one or two coordinates of
 the vector (1 / similarity on average) and sends each class on by its token
 there. Nodes of at most ``limit`` classes are compared exhaustively; larger
-ones branch again. A large node never lists its pairs; its members are only
-compared with its middle, the member nearest to the majority of all in the bits
-below. That is the text that a big group of near copies comes from, whose
-copies may be linked by it alone.
-
-One tree goes first and does only that. What it links is connected, so the
-trees after it list no comparison of two connected classes: a node counts as
-small if at most ``limit`` of its classes are outside of its largest connected
-part, and these meet all the others. Larger nodes branch on, for as many levels
-as leave nodes of ``limit`` classes of unlinked texts (each level shrinks such
-a node by the similarity at least), or until blocks of them take no more rows
-than there are classes. Nodes that are large even then are compared in blocks:
-some of the classes outside with all others, so none of their pairs is lost.
-
-Two bits of each minwise token sort out pairs that are far apart. Every link
-is confirmed on the full sets, in groups of one class and some of the classes
-it is compared with. A pair at the threshold shares a compared node of one tree
-with a chance that falls with the levels (0.7 after few); ``trees`` = 8 trees
-miss it with less than 1e-3 there, and a group of near copies is held together
-by many links.
+ones branch again.
+
+One tree goes first and only links large nodes: their members are compared with
+their middle, the member nearest to the majority of all in the bits below. That
+is the text that a big group of near copies comes from, whose copies may be
+linked by it alone. Then one tree, then all others are compared in full. What is
+linked is connected, and no later step compares two connected classes: a node
+counts as small if at most ``limit`` of its classes are outside of its largest
+connected part, and these meet all the others. Larger nodes branch on, for as
+many levels as leave nodes of ``limit`` classes of unlinked texts (each level
+shrinks such a node by the similarity at least), or until blocks of them take
+fewer rows than the trees have. Nodes that are large even then are compared in
+blocks: some of the classes outside with some of all others, each with each, so
+none of their pairs is lost.
+
+No step lists the pairs of a node. Sizes and two bits of each minwise token tell
+which members may be linked with one outside; their texts go to the node, once a
+node, where full sets are compared. A node returns a link of each class outside
+with each connected part, and a spanning forest if more than ``limit`` classes
+are outside: no more rows than it has members. A pair at the
+threshold shares a compared node of one tree with a chance that falls with the
+levels (0.7 after few); ``trees`` = 8 trees miss it with less than 1e-3 there,
+and a group of near copies is held together by many links.
 
 Defined results: null or word-less text has an empty set and is linked with
 nothing. Rows that share an id are one document, linked if any of their texts
@@ -54,6 +57,8 @@ _STEP = 8192
 # Of 64 two-bit tokens a pair at similarity 0.8 has 9.6 different ones on
 # average; more than 24 have a chance below 1e-5.
 _FAR = 24
+# Classes of a block, outside and in all, and rows that are sent to all tasks.
+_ROOM, _MEMBERS, _SENT = 256, 2048, 500_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -106,10 +111,16 @@ def _branch(rows: DataFrame, similarity: float) -> DataFrame:
     twice = F.pmod(F.shiftright(draw, 32), F.lit(1000)) < F.lit(int(1000 * (1 / similarity - 1)))
     taken = F.when(twice, F.array(first, other)).otherwise(F.array(first))
     return rows.withColumn("_at", F.explode(taken)).select(
-        F.xxhash64("node", "_at", F.element_at("tokens", F.col("_at") + 1)).alias("node"), "rep", "s1", "s2", "known"
+        F.xxhash64("node", "_at", F.element_at("tokens", F.col("_at") + 1)).alias("node"), "rep", "s1", "s2", "size", "known"
     )
 
 
+def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (id, ...) with their texts, which are not moved for it as long as few rows are wanted."""
+    wanted = F.broadcast(wanted) if wanted.count() <= _SENT else wanted
+    return texts.where("id IS NOT NULL AND text IS NOT NULL").join(wanted, "id")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, together: int = 64) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough.
 
@@ -137,9 +148,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, tog
     members = pairs.join(counts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(False).alias("head"))
     heads = counts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     heads = heads.select(F.col("a").alias("id"), "a", "part", F.lit(True).alias("head"))
-    # The texts are read once, and not moved for it as long as what is wanted of them is small.
-    wanted = written(members.unionByName(heads), "wanted")
-    used = texts.where("id IS NOT NULL AND text IS NOT NULL").join(wanted, "id")
+    used = _with_texts(written(members.unionByName(heads), "wanted"), texts)
     return written(used.groupBy("a", "part").applyInArrow(run, schema).distinct(), "links")
 
 
@@ -188,64 +197,139 @@ def _middles(large: DataFrame, sample: int = 63) -> DataFrame:
 
 
 def _descended(
-    reps: DataFrame, trees: range, similarity: float, limit: int, levels: int, enough: int
-) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
-    """Branch (rep, tokens, s1, s2, known) by all ``trees``: pairs with hubs, small nodes, and the large ones left.
-
-    ``known`` names what is connected already, and ``most`` the largest such
-    part of a node. A node is small if at most ``limit`` members are outside
-    of it; nodes without such members are dropped. Branching ends when blocks
-    of all large nodes take ``enough`` rows or fewer, and after all ``levels``.
+    reps: DataFrame, trees: range, similarity: float, limit: int, levels: int, enough: int, hubs: bool = False
+) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Branch (rep, tokens, s1, s2, size, known) by all ``trees``: pairs with hubs, if wanted, and nodes to compare.
+
+    ``known`` names what is connected already. A node is small if at most
+    ``limit`` members are outside of its largest connected part; nodes without
+    such members are dropped. Branching ends when blocks of all large nodes
+    take ``enough`` rows or fewer, and after all ``levels``.
     """
     roots = F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree")
     rows = _branch(reps.select("*", roots).withColumn("node", F.xxhash64("tree", F.lit("root"))), similarity)
-    stars, leaves = [], []
+    stars, nodes = [], []
     for level in range(1, levels + 1):
         rows = written(rows, "nodes")
         parts = rows.groupBy("node", "known").agg(F.count(F.lit(1)).alias("n"))
         sizes = parts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "known")).alias("_m"))
         sizes = sizes.select("node", "n", F.col("_m.known").alias("most"), (F.col("n") - F.col("_m.n")).alias("others"))
-        sizes = written(sizes.where("others > 0"), "sizes")
-        placed = written(rows.join(sizes, "node"), "placed")
-        leaves.append(placed.where(F.col("others") <= limit).select("node", "rep", "s1", "s2", "known", "most", (F.col("known") != F.col("most")).alias("outside")))
+        placed = written(rows.join(written(sizes.where("others > 0"), "sizes"), "node"), "placed")
+        placed = placed.withColumn("outside", F.col("known") != F.col("most")).drop("most")
+        crowded = (F.col("others") > limit) | (F.col("n") > _MEMBERS)
+        nodes.append(placed.where(~crowded).drop("n", "others"))
+        nodes.append(_blocks(placed.where(crowded & (F.col("others") <= limit))))
         large = placed.where(F.col("others") > limit)
-        left = sizes.where(F.col("others") > limit).agg(F.sum(F.col("n") * F.ceil(F.col("others") / limit)).alias("rows")).first()["rows"]
+        left = large.agg(F.sum(F.ceil(F.col("others") / _ROOM)).alias("rows")).first()["rows"]
         if left is None:
-            return stars, leaves, None
-        near = _near(F.col("s1"), F.col("s2"), F.col("hub.s1"), F.col("hub.s2"))
-        around = large.join(_middles(large), "node").where((F.col("known") != F.col("hub.known")) & near)
-        stars.append(around.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
+            return stars, nodes
+        if hubs:
+            near = _near(F.col("s1"), F.col("s2"), F.col("hub.s1"), F.col("hub.s2"))
+            around = large.join(_middles(large), "node").where((F.col("known") != F.col("hub.known")) & near)
+            stars.append(around.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
         if left <= enough:
             break
         if level < levels:
-            rows = _branch(large.select("node", "rep", "s1", "s2", "known").join(reps.select("rep", "tokens"), "rep"), similarity)
-    return stars, leaves, large
-
-
-def _blocks(large: DataFrame, limit: int) -> DataFrame:
-    """Large nodes as small ones: all members with one part of those outside of the largest connected part."""
-    parts = F.ceil(F.col("others") / limit)
-    dealt = large.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    own = F.pmod(F.xxhash64("rep", "node"), parts) == F.col("_part")
-    return dealt.select(
-        F.xxhash64("node", "_part").alias("node"), "rep", "s1", "s2", "known", "most", ((F.col("known") != F.col("most")) & own).alias("outside")
-    )
-
-
-def _leaf_pairs(leaves: DataFrame) -> DataFrame:
-    """Pairs (a, b) of small nodes (node, rep, s1, s2, known, most, outside) that aren't connected and not far apart.
+            own = large.select("node", "rep", "s1", "s2", "size", "known")
+            rows = _branch(own.join(reps.select("rep", "s1", "s2", "tokens"), ["rep", "s1", "s2"]), similarity)
+    return stars, [*nodes, _blocks(large)]
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """Large nodes as small ones: some of those outside of the largest connected part, with some of all members."""
+    parts, shares = F.ceil(F.col("others") / _ROOM), F.ceil(F.col("n") / _MEMBERS)
+    dealt = large.withColumns({"_own": F.pmod(F.xxhash64("rep", "node"), parts), "_share": F.pmod(F.xxhash64("node", "rep"), shares)})
+    held = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    held = held.where(~F.col("outside") | (F.col("_own") != F.col("_part"))).withColumn("outside", F.lit(False))
+    met = dealt.where("outside").withColumn("_part", F.col("_own")).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)))
+    both = held.unionByName(met).withColumn("node", F.xxhash64("node", "_part", "_share"))
+    return both.select("node", "rep", "s1", "s2", "size", "known", "outside")
+
+
+def _met(node: np.ndarray, outside: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs of each node, about ``most`` at a time: j is outside. Rows are in the order of their nodes."""
+    starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
+    sizes = np.diff(np.r_[starts, len(node)])
+    chosen = np.flatnonzero(outside)
+    owner = np.repeat(np.arange(len(starts)), sizes)[chosen]
+    counts, begins = sizes[owner], starts[owner]
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(chosen):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - counts[at] + most, "right")))
+        n = counts[at:stop]
+        j = np.repeat(chosen[at:stop], n)
+        i = np.arange(n.sum()) + np.repeat(begins[at:stop] - np.cumsum(n) + n, n)
+        once = ~outside[i] | (i < j)
+        yield i[once], j[once]
+        at = stop
+
+
+def _close(nodes: DataFrame, percent: int, groups: int) -> DataFrame:
+    """Members (node, rep, known, outside) that may be linked with one of the few outside that they aren't connected with."""
+    schema = "node bigint, rep bigint, known bigint, outside boolean"
 
-    Every member meets the few members that are ``outside``.
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, known, size, s1, s2 = (group.column(c).to_numpy() for c in ("node", "known", "size", "s1", "s2"))
+        outside = group.column("outside").to_numpy()
+        found = np.zeros(len(node), bool)
+        for i, j in _met(node, outside):
+            far = np.bitwise_count(((s1[i] ^ s1[j]) | (s2[i] ^ s2[j])).view(np.uint64))
+            fits = (known[i] != known[j]) & (far <= _FAR)
+            i, j = i[fits], j[fits]
+            fits = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+            found[i[fits]] = found[j[fits]] = True
+        return group.select(["node", "rep", "known", "outside"]).filter(pa.array(found))
+
+    dealt = nodes.withColumn("_group", F.pmod(F.xxhash64("node"), F.lit(groups)))
+    return dealt.groupBy("_group").applyInArrow(run, schema)
+
+
+def _linked(nodes: DataFrame, texts: DataFrame, percent: int, words: int, limit: int, groups: int) -> DataFrame:
+    """Links (a, b) of members of ``nodes``, on full sets.
+
+    Each class outside has one with each connected part that it is linked with;
+    with more than ``limit`` outside, links that would close a circle are left out.
     """
-    few = leaves.groupBy("node").agg(F.collect_list(F.when(F.col("outside"), F.struct("rep", "s1", "s2", "known"))).alias("m"))
-    both = leaves.join(written(few, "few"), "node")
+    schema = "a bigint, b bigint"
+    arrow = arrow_schema(schema)
 
-    def fits(y):
-        once = (F.col("known") == F.col("most")) | (F.col("rep") < y["rep"])
-        return once & (y["known"] != F.col("known")) & _near(F.col("s1"), F.col("s2"), y["s1"], y["s2"])
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        node, rep, known = (group.column(c).to_numpy() for c in ("node", "id", "known"))
+        outside, held = group.column("outside").to_numpy(), group.column("text").to_pylist()
+        sets = {text: shingle_hashes(text, words) for text in set(held)}
+        out: tuple[list, list] = ([], [])
+        bounds = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
+        for begin, end in zip(bounds[:-1], bounds[1:]):
+            members = np.array([k for k in range(begin, end) if len(sets[held[k]])])
+            if len(members) < 2:
+                continue
+            sizes = np.array([len(sets[held[k]]) for k in members])
+            ends = np.cumsum(sizes)
+            coded = np.unique(np.concatenate([sets[held[k]] for k in members]), return_inverse=True)[1]
+            marked = np.zeros(coded.max() + 1, np.int32)
+            part, few = known[members], outside[members]
+            forest = few.sum() > limit
+            for j in np.flatnonzero(few):
+                own = coded[ends[j] - sizes[j] : ends[j]]
+                marked[own] = 1
+                both = np.add.reduceat(marked[coded], ends - sizes)
+                marked[own] = 0
+                fits = (100 * both >= percent * (sizes + sizes[j] - both)) & (part != part[j])
+                fits &= ~few | (np.arange(len(few)) < j)
+                for i in np.flatnonzero(fits)[np.unique(part[fits], return_index=True)[1]]:
+                    out[0].append(rep[members[i]])
+                    out[1].append(rep[members[j]])
+                    if forest:
+                        part[part == part[i]] = part[j]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-    found = both.select("rep", F.explode(F.transform(F.filter("m", fits), lambda y: y["rep"])).alias("other"))
-    return found.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    close = written(_close(nodes, percent, groups).distinct().withColumnRenamed("rep", "id"), "close")
+    few = max(1, close.count() // 512)
+    used = _with_texts(close, texts).withColumn("_group", F.pmod(F.xxhash64("node"), F.lit(few)))
+    return written(used.groupBy("_group").applyInArrow(run, schema).distinct(), "links")
 
 
 def link(
@@ -264,24 +348,25 @@ def link(
     # A document with an id below others of its class stands for it; single ones stand for themselves.
     others = written(members, "members")
     reps = usable.join(others, usable["doc_id"] == others["doc_id"], "left_anti").dropDuplicates(["doc_id", "f1", "f2"])
-    reps = written(reps.select(F.col("doc_id").alias("rep"), "tokens", "s1", "s2"), "reps")
+    reps = written(reps.select(F.col("doc_id").alias("rep"), "tokens", "s1", "s2", F.col("n_shingles").alias("size")), "reps")
     count = reps.count()
     if levels is None:
         levels = max(6, math.ceil(math.log(max(count / limit, 1)) / -math.log(similarity)))
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    union = DataFrame.unionByName
-    stars, _, _ = _descended(reps.withColumn("known", F.col("rep")), range(1), similarity, limit, min(levels, 4), 0)
+    stars, _ = _descended(reps.withColumn("known", F.col("rep")), range(1), similarity, limit, min(levels, 4), 0, hubs=True)
     nothing = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    first = _confirmed(reduce(union, stars, nothing), texts, percent, words)
-    known = written(components(first).toDF("rep", "known"), "known")
-    reps = written(reps.join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep")), "reps")
-    stars, leaves, large = _descended(reps, range(trees), similarity, limit, levels, count)
-    small = leaves + ([_blocks(large, limit)] if large is not None else [])
-    pairs = reduce(union, stars, _leaf_pairs(written(reduce(union, small), "leaves")))
-    second = _confirmed(pairs, texts, percent, words)
-    both = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return sets, others, written(both.distinct(), "links")
+    links = _confirmed(reduce(DataFrame.unionByName, stars, nothing), texts, percent, words)
+    for some in (range(1), range(1, trees)):
+        if not some:
+            continue
+        known = written(components(links).toDF("rep", "known"), "known")
+        named = written(reps.join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep")), "reps")
+        _, nodes = _descended(named, some, similarity, limit, levels, count * len(some) // 2)
+        groups = max(1, count * len(some) // 8192)
+        links = links.unionByName(_linked(reduce(DataFrame.unionByName, nodes), texts, percent, words, limit, groups))
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return sets, others, written(links.distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 2, trees: int = 8, limit: int = 16, levels: int | None = None) -> DataFrame:
