@@ -117,8 +117,12 @@ def _branch(rows: DataFrame, similarity: float) -> DataFrame:
 
 def _with_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows of ``wanted`` (id, ...) with their texts, which are not moved for it as long as few rows are wanted."""
-    wanted = F.broadcast(wanted) if wanted.count() <= _SENT else wanted
-    return texts.where("id IS NOT NULL AND text IS NOT NULL").join(wanted, "id")
+    return texts.where("id IS NOT NULL AND text IS NOT NULL").join(_sent(wanted), "id")
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Written ``rows`` for a join, sent to all tasks if they are few: the wide side stays in place then."""
+    return F.broadcast(rows) if rows.count() <= _SENT else rows
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int, together: int = 64) -> DataFrame:
@@ -230,7 +234,7 @@ def _descended(
         if left <= enough:
             break
         if level < levels:
-            own = large.select("node", "rep", "s1", "s2", "size", "known")
+            own = _sent(large.select("node", "rep", "s1", "s2", "size", "known"))
             rows = _branch(own.join(reps.select("rep", "s1", "s2", "tokens"), ["rep", "s1", "s2"]), similarity)
     return stars, [*nodes, _blocks(large)]
 
@@ -361,7 +365,7 @@ def link(
         if not some:
             continue
         known = written(components(links).toDF("rep", "known"), "known")
-        named = written(reps.join(known, "rep", "left").withColumn("known", F.coalesce("known", "rep")), "reps")
+        named = written(reps.join(_sent(known), "rep", "left").withColumn("known", F.coalesce("known", "rep")), "reps")
         _, nodes = _descended(named, some, similarity, limit, levels, count * len(some) // 2)
         groups = max(1, count * len(some) // 8192)
         links = links.unionByName(_linked(reduce(DataFrame.unionByName, nodes), texts, percent, words, limit, groups))

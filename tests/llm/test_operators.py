@@ -421,3 +421,16 @@ def test_links_are_confirmed_without_a_copy_of_the_texts(spark, monkeypatch):
     pairs = spark.createDataFrame([(0, 1), (0, 1), (0, 2), (2, 3)], "a long, b long")
     assert [tuple(r) for r in neardup._confirmed(pairs, df, 80, 2).collect()] == [(0, 1)]
     assert not [label for label, held in tables.items() if "text" in held.columns]
+
+
+def test_near_duplicates_list_no_pairs_of_a_group(spark, monkeypatch):
+    """Texts of one template, most of them not linked: what is listed and returned grows with the texts, not with their pairs."""
+    tables = []
+    kept = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, label: tables.append((label, kept(df, label))) or tables[-1][1])
+    shared = words(79, 150)
+    texts = [f"{shared} {words(3000 + i, 40)}" for i in range(150)]
+    got, want = linked(spark, texts, trees=3)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    listed = sum(held.count() for label, held in tables if label in ("pairs", "links"))
+    assert listed <= 6 * len(texts)
