@@ -25,8 +25,8 @@ No step lists the pairs of a node. Sizes and two bits of each minwise token tell
 which members may be linked with one outside; their texts go to the node, once a
 node, where full sets are compared. A node returns a link of each class outside
 with each connected part, and a spanning forest if more than ``limit`` classes
-are outside: no more rows than it has members. A pair at the
-threshold shares a compared node of one tree with a chance that falls with the
+are outside: at most ``limit`` links a member, and fewer than members in a
+forest. A pair at the threshold shares a compared node of one tree with a chance that falls with the
 levels (0.7 after few); ``trees`` = 8 trees miss it with less than 1e-3 there,
 and a group of near copies is held together by many links.
 
