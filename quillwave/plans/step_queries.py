@@ -69,7 +69,7 @@ def recording_scan(spark, sf_dir):
     samples, _ = _event_recordings(spark, sf_dir)
     path = scratch_path(spark, "recordings")
     sinks.write_recordings(samples.select("t", F.lit("T0").alias("marker"), "values", "subject", "run"), path)
-    scanned = trials.exclude_keys(files.read_recordings(spark, path, RUNS), "subject")
+    scanned = files.read_recordings(spark, path, RUNS, lambda rows: trials.exclude_keys(rows, "subject"))
     return files.recording_name(scanned).select("path", rounded("t", "t"), F.get("values", F.lit(0)).alias("value"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwave.functions.text import split_words, zero_padded
+from quillwave.sources import folders
 
 PHRASES = "PhraseId int, Phrase string, Sentiment int"
 PHRASES_TEST = "PhraseId int, Phrase string"
@@ -53,9 +56,22 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_recordings(spark: SparkSession, path: str, runs: tuple[int, ...] = tuple(range(3, 15))) -> DataFrame:
-    """Decoded recordings, partitioned by subject and run; only ``runs`` are read."""
-    return spark.read.schema(RECORDING).parquet(path).where(F.col("run").isin(*runs))
+def read_recordings(
+    spark: SparkSession, path: str, runs: tuple[int, ...] = tuple(range(3, 15)), keep: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> DataFrame:
+    """Decoded recordings, partitioned by subject and run; only ``runs`` are read.
+
+    ``keep`` is a further filter on subject and run. Files it leaves out are
+    not opened. The files of a tree with a list are found by the tasks; those
+    of others by the driver, which holds them all.
+    """
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return keep(rows.where(F.col("run").isin(*runs)))
+
+    if folders.is_listed(spark, path):
+        return folders.read(spark, path, RECORDING, wanted)
+    return wanted(spark.read.schema(RECORDING).parquet(path))
 
 
 def recording_name(df: DataFrame, out: str = "path") -> DataFrame:

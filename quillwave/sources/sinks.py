@@ -6,6 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwave.sources import folders
+
 
 def align_submission(template: DataFrame, predictions: DataFrame, key: str, label: str) -> DataFrame:
     """Template keys with the predicted labels, joined by key."""
@@ -43,10 +45,18 @@ def write_recordings(samples: DataFrame, path: str) -> None:
 
     The rows of a folder meet in one task, so it holds one file. The number of
     tasks is a fixed one, as the time goes with the folders: by size, adaptive
-    execution would leave many small ones to one task. Tasks put their own
-    files in place: the driver would move those of many folders one by one.
-    Readers must wait for the end of the write.
+    execution would leave many small ones to one task. Tasks write the files
+    and list them in a table, so the driver does not know the folders. Readers
+    must wait for the end of the write; files that are added later are not in
+    the list.
+
+    On a file system that Arrow does not know, Spark writes them. Tasks put
+    their own files in place: the driver would move those of many folders one
+    by one. It holds the names of all folders.
     """
+    if folders.reached(samples.sparkSession, path):
+        folders.write(samples, path)
+        return
     tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = samples.repartition(tasks, "subject", "run")
     writer = laid.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")

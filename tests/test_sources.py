@@ -1,9 +1,11 @@
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from conftest import plan, rows
-from quillwave.sources import files, sinks
+from quillwave.sources import files, folders, sinks
 
 
 def test_tsv_keeps_null_like_words(spark, folder):
@@ -72,6 +74,69 @@ def test_a_recording_is_one_file(spark, folder):
     assert files.read_recordings(spark, f"{folder}/r").count() == 400
 
 
+def _recordings(spark):
+    """Forty recordings of ten rows, four without a subject."""
+    return spark.range(0, 400, 1, 8).selectExpr(
+        "id / 10D AS t", "IF(id % 7 = 0, NULL, 'T0') AS marker", "IF(id % 9 = 0, NULL, array(1D, id, NULL)) AS values",
+        "CAST(IF(id % 20 = 19, NULL, id % 20) AS int) AS subject", "CAST(3 + id % 2 + 4 * (id DIV 200) AS int) AS run",
+    )
+
+
+def test_the_driver_does_not_hold_the_files_of_recordings(spark, folder):
+    written = _recordings(spark)
+    sinks.write_recordings(written, f"{folder}/r")
+    read = files.read_recordings(spark, f"{folder}/r")
+    assert rows(read) == rows(written.select(*read.columns))
+    # 40 files; what the driver knows are the lists of the four tasks.
+    assert 0 < len(read.inputFiles()) <= 4
+    assert not [f for f in read.inputFiles() if f.endswith(".parquet")]
+    # The tree is one that Spark takes, too.
+    plain = spark.read.schema(files.RECORDING).parquet(f"{folder}/r")
+    assert plain.schema == read.schema and rows(plain) == rows(read)
+
+
+def test_recordings_that_are_not_wanted_are_not_opened(spark, folder):
+    sinks.write_recordings(_recordings(spark), f"{folder}/r")
+    for spoilt in ("subject=2/run=3", "subject=2/run=7", "subject=1/run=8"):
+        for name in os.listdir(f"{folder}/r/{spoilt}"):
+            os.remove(f"{folder}/r/{spoilt}/{name}")
+    read = files.read_recordings(spark, f"{folder}/r", (3, 4, 7), lambda found: found.where("subject <> 2"))
+    want = _recordings(spark).where("run IN (3, 4, 7) AND subject <> 2")
+    assert rows(read) == rows(want.select(*read.columns))
+
+
+def test_a_long_recording_is_read_in_parts(spark, folder):
+    written = spark.range(0, 60_000, 1, 3).selectExpr("id / 10D AS t", "'T0' AS marker", "array(1D, id) AS values", "CAST(id % 2 AS int) AS subject", "3 AS run")
+    folders.write(written, f"{folder}/r", group_bytes=100_000)
+    listed = spark.read.schema(folders.LISTED).json(f"{folder}/r/_files")
+    assert [r.parts > 1 for r in listed.collect()] == [True, True]
+    read = files.read_recordings(spark, f"{folder}/r")
+    assert rows(read) == rows(written.select(*read.columns))
+
+
+def test_recordings_without_rows_and_where_some_are(spark, folder):
+    sinks.write_recordings(_recordings(spark).where("t < 0"), f"{folder}/r")
+    assert files.read_recordings(spark, f"{folder}/r").count() == 0
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        sinks.write_recordings(_recordings(spark), f"{folder}/r")
+
+
+def test_names_of_folders_are_those_of_spark(spark, folder):
+    values = ["a b", "a/b:c", "50%", "[x]='y'", "", None, "é"]
+    named = spark.createDataFrame([(1.0, v, 3) for v in values], "t double, subject string, run int")
+    sinks.write_recordings(named, f"{folder}/own")
+    named.write.partitionBy("subject", "run").parquet(f"{folder}/plain")
+    names = [sorted(n for n in os.listdir(f"{folder}/{k}") if "=" in n) for k in ("own", "plain")]
+    assert names[0] == names[1] and len(names[0]) == 6
+
+
+def test_recordings_where_only_spark_can_write(spark, folder, monkeypatch):
+    monkeypatch.setattr(folders, "reached", lambda spark, path: False)
+    sinks.write_recordings(_recordings(spark), f"{folder}/r")
+    read = files.read_recordings(spark, f"{folder}/r", (3,), lambda found: found.where("subject <> 2"))
+    assert rows(read) == rows(_recordings(spark).where("run = 3 AND subject <> 2").select(*read.columns))
+
+
 def test_single_text(spark):
     assert rows(files.single_text(spark, "One short text")) == [(0, "One short text")]
 
